@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, conversations, split
+from mnemospark.llm import bpe, conversations, knn, split
 from mnemospark.sources.tables import one_per_chunk, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_pieces(spark, sf).filter(F.col("piece_no") == 2).select("chunk_id")
 
 
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.nearest(table(spark, sf, "chunks"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.near_pairs(p2_neighbours(spark, sf))
+
+
 def p7_turns(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf, "chunks"), table(spark, sf, "speaker_aliases"))
 
@@ -42,6 +50,8 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p7_found": p7_found,
     "p7_turns": p7_turns,
     "p8_ids": p8_ids,
