@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, conversations, knn, split
+from mnemospark.llm import bpe, clusters, conversations, knn, split
 from mnemospark.sources.tables import one_per_chunk, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,15 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return knn.near_pairs(p2_neighbours(spark, sf))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.neighbours_in_order(clusters.clusters(table(spark, sf, "chunks")))
+
+
+def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "chunks")
+    return clusters.describe(clusters.clusters(chunks), chunks)
+
+
 def p7_turns(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf, "chunks"), table(spark, sf, "speaker_aliases"))
 
@@ -52,6 +61,8 @@ QUERIES: dict[str, Query] = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p7_found": p7_found,
     "p7_turns": p7_turns,
     "p8_ids": p8_ids,
