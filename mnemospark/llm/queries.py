@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, clusters, conversations, knn, split
+from mnemospark.llm import bpe, clusters, conversations, history_dedup, knn, split
+from mnemospark.session import materialize, new_table_path
 from mnemospark.sources.tables import one_per_chunk, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return knn.near_pairs(p2_neighbours(spark, sf))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch 0 is the forest's first run; the later batches arrive in order of batch_no, then chunk_id."""
+    chunks = one_per_chunk(table(spark, sf, "chunks"), "batch_no", "user_id", "text", "vector")
+    chunks = materialize(chunks.withColumn("batch_no", F.coalesce("batch_no", F.lit(2**31 - 1))), "chunks")
+    signed = materialize(history_dedup.sign(chunks), "signed")
+    forest = new_table_path(spark, "forest")
+    history_dedup.forest_run(signed.filter("batch_no <= 0"), forest)
+    return history_dedup.ingest(chunks, signed.filter("batch_no > 0"), forest)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.neighbours_in_order(clusters.clusters(table(spark, sf, "chunks")))
 
@@ -61,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p7_found": p7_found,
