@@ -25,6 +25,8 @@ DATE_WORDS = frozenset(
     "january february march april may june july august september october november december "
     "monday tuesday wednesday thursday friday saturday sunday".split()
 )
+# Words that come and go without changing what a message says.
+LIGHT = frozenset("a an the of to and so well just also really actually again please ok okay yes hi hey fyi re fwd btw note thanks thank as i said".split())
 NEGATIONS = frozenset("not no never none nobody nothing".split())
 _WORD = re.compile(r"[^\W_]+")
 _KEYS = "chunk_id string, user_id string, batch_no int"
@@ -85,8 +87,8 @@ def depth_for(recall: float, similarity: float) -> int:
 
 
 def close(a: str, b: str) -> bool:
-    """One slip apart (two in words of eight letters and more): a letter lost, added, changed, or two exchanged."""
-    most = 2 if min(len(a), len(b)) >= 8 else 1
+    """One slip apart (two in words of six letters and more): a letter lost, added, changed, or two exchanged."""
+    most = 2 if min(len(a), len(b)) >= 6 else 1
     if abs(len(a) - len(b)) > most or min(len(a), len(b)) < 2:
         return False
     before2: list[int] = []
@@ -131,6 +133,7 @@ def same_message(a: str, b: str) -> bool:
                     two.remove(p)
     if any(w in exact for w in rest + right):
         return False
+    rest, right = [w for w in rest if w not in LIGHT], [w for w in right if w not in LIGHT]
     if rest and right:  # other words in the place of some: another message, unless both only add a word or two
         return len(rest) + len(right) <= 2 and not _names(rest, a) and not _names(right, b)
     extra = rest + right
@@ -141,7 +144,7 @@ def _names(ws: list[str], text: str) -> bool:
     """Whether some of the words are written as names inside a sentence of the text."""
     if text.upper() == text:
         return False
-    return any(re.search(rf"(?<=[^\W\d_] ){re.escape(w[:1].upper())}{re.escape(w[1:])}\b", text) for w in ws)
+    return any(len(w) > 2 and re.search(rf"(?<=[^\W\d_] ){re.escape(w[:1].upper())}{re.escape(w[1:])}\b", text) for w in ws)
 
 
 def sign(chunks: DataFrame) -> DataFrame:
