@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, clusters, conversations, history_dedup, knn, split
+from mnemospark.llm import bpe, clusters, conversations, history_dedup, knn, mixing, split, truncation
 from mnemospark.session import materialize, new_table_path
 from mnemospark.sources.tables import one_per_chunk, table
 
@@ -67,6 +67,33 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf, "documents"))
 
 
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, source and n_tokens of every document, counted once and stored."""
+    return materialize(bpe.count_tokens(table(spark, sf, "documents"), ["doc_id", "source"]), "sized")
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sized(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    return mixing.shares(mixing.mix(_sized(spark, sf), targets), targets)
+
+
+def p9_tempered(spark: SparkSession, sf: str) -> DataFrame:
+    """The smallest exponent at which no source is used more than four times in a mix of the corpus's size."""
+    return mixing.temperature_mix(_sized(spark, sf), "tempered", max_repeats=4)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf, "documents")).filter("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(truncation.truncated(table(spark, sf, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -78,4 +105,9 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p7_turns": p7_turns,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p9_tempered": p9_tempered,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
