@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.vectors import DIMS, unit, usable_rows
 from mnemospark.session import materialize
+from mnemospark.sources.tables import one_per_chunk
 
 TREES = 32
 LEVELS = 6
@@ -29,7 +30,6 @@ DATE_WORDS = frozenset(
 LIGHT = frozenset("a an the of to and so well just also really actually again please ok okay yes hi hey fyi re fwd btw note thanks thank as i said".split())
 NEGATIONS = frozenset("not no never none nobody nothing".split())
 _WORD = re.compile(r"[^\W_]+")
-_KEYS = "chunk_id string, user_id string, batch_no int"
 
 
 def words(text: str) -> list[str]:
@@ -148,49 +148,64 @@ def _names(ws: list[str], text: str) -> bool:
 
 
 def sign(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, user_id, batch_no, root, paths) of every chunk that can be a case.
+    """(chunk_id, batch_no, root, paths) of every chunk that can be a case, each chunk_id once with its smallest batch_no.
 
     The root of the forest is the user and the numbers of the message. Texts under
-    LEAST_CHARS characters and nulls are left out: they are no cases.
+    LEAST_CHARS characters and nulls are left out: they are no cases. A null batch_no
+    comes after all others.
     """
-    rows = chunks.filter(F.char_length("text") >= LEAST_CHARS).select("chunk_id", "user_id", "batch_no", "text")
+    rows = chunks.filter(F.col("chunk_id").isNotNull() & (F.char_length("text") >= LEAST_CHARS)).select("chunk_id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no"), "user_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ws = [words(t) for t in b.column(3).to_pylist()]
-            users = b.column(1).to_pylist()
+            users = b.column(2).to_pylist()
             roots = [xxhash.xxh64_intdigest(repr(u), seed=numbers_key(w)) >> 1 for u, w in zip(users, ws)]
             flat = np.concatenate([paths(w) for w in ws]) if ws else np.empty(0, np.int64)
             offsets = pa.array(np.arange(len(ws) + 1, dtype=np.int32) * TREES)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(roots, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["chunk_id", "user_id", "batch_no", "root", "paths"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(roots, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["chunk_id", "batch_no", "root", "paths"])
 
-    return rows.mapInArrow(run, _KEYS + ", root bigint, paths array<bigint>")
+    signed = rows.mapInArrow(run, "chunk_id string, batch_no int, root bigint, paths array<bigint>")
+    return signed.groupBy("chunk_id").agg(F.min(F.struct("batch_no", "root", "paths")).alias("s")).select("chunk_id", "s.*")
 
 
 def forest_run(signed: DataFrame, path: str) -> None:
-    """Persist one run of the forest: the entries of all trees sorted by tree, root and path."""
-    entries = signed.select("chunk_id", "batch_no", "root", F.posexplode("paths").alias("tree", "path"))
-    entries.repartition("root").sortWithinPartitions("tree", "root", "path").write.mode("append").parquet(path)
+    """Persist one run of the forest, sorted by root: per entry its paths in all trees."""
+    signed.select("chunk_id", "batch_no", "root", "paths").repartition("root").sortWithinPartitions("root").write.mode("append").parquet(path)
 
 
-def candidates(new: DataFrame, index: DataFrame, depth: int) -> DataFrame:
+def live_entries(new: DataFrame, index: DataFrame) -> DataFrame:
+    """The entries under roots that hold a new row and another one. New rows are in the index already.
+
+    Only narrow rows of the forest are read here, no text or vector of history; all
+    other entries can't meet a new row.
+    """
+    near = index.join(new.select("root").distinct(), "root", "left_semi")
+    roots = near.groupBy("root").count().filter("count > 1").select("root")
+    return near.join(roots, "root", "left_semi")
+
+
+def candidates(new: DataFrame, live: DataFrame, depth: int) -> DataFrame:
     """(a, b, a_batch): pairs of an earlier entry a and a new entry b that share a prefix of `depth` digits in some tree.
 
-    Entries meet under their root and prefix, so only the parts of the forest with the
-    roots of new rows take part.
+    A tree is sorted by root and path, and a prefix is a range of it: the join on
+    (root, tree, prefix) is the search of all ranges at once.
     """
     cut = (LEVELS - depth) * LEVEL_BITS
-    q = new.select(F.col("chunk_id").alias("b"), F.col("batch_no").alias("b_batch"), "root", F.posexplode("paths").alias("tree", "path"))
-    q = q.withColumn("prefix", F.shiftright("path", cut)).drop("path")
-    d = index.select(F.col("chunk_id").alias("a"), F.col("batch_no").alias("a_batch"), "root", "tree", F.shiftright("path", cut).alias("prefix"))
+    entries = live.select("chunk_id", "batch_no", "root", F.posexplode("paths").alias("tree", "path")).select("chunk_id", "batch_no", F.xxhash64("root", "tree", F.shiftright("path", cut)).alias("range"))
+    q = entries.join(new.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("b"), F.col("batch_no").alias("b_batch"), "range")
+    d = entries.select(F.col("chunk_id").alias("a"), F.col("batch_no").alias("a_batch"), "range")
     earlier = (F.col("a_batch") < F.col("b_batch")) | ((F.col("a_batch") == F.col("b_batch")) & (F.col("a") < F.col("b")))
-    return q.join(d, ["root", "tree", "prefix"]).filter(earlier).select("a", "b", "a_batch").distinct()
+    return q.join(d, "range").filter(earlier).select("a", "b", "a_batch").distinct()
 
 
 def verified(pairs: DataFrame, chunks: DataFrame, least_cosine: float) -> DataFrame:
     """The candidates that are the same message: checked on the whole texts and, where both are usable, on the vectors."""
-    left = chunks.select(F.col("chunk_id").alias("a"), F.col("text").alias("ta"), F.col("vector").alias("va"), F.col("user_id").alias("ua"))
-    right = chunks.select(F.col("chunk_id").alias("b"), F.col("text").alias("tb"), F.col("vector").alias("vb"), F.col("user_id").alias("ub"))
+    pairs = materialize(pairs, "candidates")
+    asked = pairs.select(F.col("a").alias("chunk_id")).union(pairs.select("b")).distinct()
+    rows = materialize(one_per_chunk(chunks.select("chunk_id", "user_id", "text", "vector").join(asked, "chunk_id", "left_semi"), "user_id", "text", "vector"), "asked")
+    left = rows.select(F.col("chunk_id").alias("a"), F.col("text").alias("ta"), F.col("vector").alias("va"), F.col("user_id").alias("ua"))
+    right = rows.select(F.col("chunk_id").alias("b"), F.col("text").alias("tb"), F.col("vector").alias("vb"), F.col("user_id").alias("ub"))
     both = pairs.join(left, "a").join(right, "b").filter(F.col("ua").eqNullSafe(F.col("ub"))).select("a", "b", "a_batch", "ta", "tb", "va", "vb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +254,10 @@ def ingest(chunks: DataFrame, signed_new: DataFrame, forest_path: str, recall: f
     """
     spark = chunks.sparkSession
     forest_run(signed_new, forest_path)  # its run is sorted as the others, so that new rows meet each other too
-    index = spark.read.parquet(forest_path)
-    todo, got = signed_new, []
+    live = materialize(live_entries(signed_new, spark.read.parquet(forest_path)), "live")
+    todo, got = signed_new.select("chunk_id"), []
     for depth in sorted({LEVELS, depth_for(recall, similarity)}, reverse=True):
-        pairs = materialize(verified(candidates(todo, index, depth), chunks, least_cosine), "verified")
+        pairs = materialize(verified(candidates(todo, live, depth), chunks, least_cosine), "verified")
         got.append(pairs)
         todo = todo.join(pairs.filter("a_batch <= 0").select(F.col("b").alias("chunk_id")).distinct(), "chunk_id", "left_anti")
     every = got[0]
@@ -253,4 +268,4 @@ def ingest(chunks: DataFrame, signed_new: DataFrame, forest_path: str, recall: f
 
 def compact(spark, forest_path: str, to_path: str) -> None:
     """Merge the runs of a forest into one sorted run."""
-    spark.read.parquet(forest_path).repartition("root").sortWithinPartitions("tree", "root", "path").write.parquet(to_path)
+    spark.read.parquet(forest_path).repartition("root").sortWithinPartitions("root").write.parquet(to_path)

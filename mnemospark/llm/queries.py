@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, clusters, conversations, history_dedup, knn, mixing, split, truncation
+from mnemospark.llm import bpe, clusters, conversations, history_dedup, knn, mixing, pii, split, truncation
 from mnemospark.session import materialize, new_table_path
 from mnemospark.sources.tables import one_per_chunk, table
 
@@ -38,8 +38,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Batch 0 is the forest's first run; the later batches arrive in order of batch_no, then chunk_id."""
-    chunks = one_per_chunk(table(spark, sf, "chunks"), "batch_no", "user_id", "text", "vector")
-    chunks = materialize(chunks.withColumn("batch_no", F.coalesce("batch_no", F.lit(2**31 - 1))), "chunks")
+    chunks = table(spark, sf, "chunks")
     signed = materialize(history_dedup.sign(chunks), "signed")
     forest = new_table_path(spark, "forest")
     history_dedup.forest_run(signed.filter("batch_no <= 0"), forest)
@@ -55,6 +54,24 @@ def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.describe(clusters.clusters(chunks), chunks)
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return one_per_chunk(table(spark, sf, "chunks").filter(F.length("text") > 0), "text")
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_items(_texts(spark, sf), table(spark, sf, "known_names"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """A chunk that was delivered twice has the same text each time, so items are found first and made distinct then."""
+    chunks = table(spark, sf, "chunks").filter(F.col("chunk_id").isNotNull())
+    return pii.find_items(chunks, table(spark, sf, "known_names")).select("chunk_id", "kind", "surface").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(_texts(spark, sf), table(spark, sf, "known_names"))
+
+
 def p7_turns(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf, "chunks"), table(spark, sf, "speaker_aliases"))
 
@@ -102,6 +119,9 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_turns": p7_turns,
     "p8_ids": p8_ids,
