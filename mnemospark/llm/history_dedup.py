@@ -148,7 +148,7 @@ def _names(ws: list[str], text: str) -> bool:
 
 
 def sign(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, batch_no, root, paths) of every chunk that can be a case, each chunk_id once with its smallest batch_no.
+    """(chunk_id, batch_no, root, paths) of every delivery of a chunk that can be a case. A narrow map: no shuffle.
 
     The root of the forest is the user and the numbers of the message. Texts under
     LEAST_CHARS characters and nulls are left out: they are no cases. A null batch_no
@@ -165,45 +165,47 @@ def sign(chunks: DataFrame) -> DataFrame:
             offsets = pa.array(np.arange(len(ws) + 1, dtype=np.int32) * TREES)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(roots, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["chunk_id", "batch_no", "root", "paths"])
 
-    signed = rows.mapInArrow(run, "chunk_id string, batch_no int, root bigint, paths array<bigint>")
-    return signed.groupBy("chunk_id").agg(F.min(F.struct("batch_no", "root", "paths")).alias("s")).select("chunk_id", "s.*")
+    return rows.mapInArrow(run, "chunk_id string, batch_no int, root bigint, paths array<bigint>")
 
 
 def forest_run(signed: DataFrame, path: str) -> None:
-    """Persist one run of the forest, sorted by root: per entry its paths in all trees."""
-    signed.select("chunk_id", "batch_no", "root", "paths").repartition("root").sortWithinPartitions("root").write.mode("append").parquet(path)
+    """Persist a run of the forest, sorted by root: per entry its paths in all trees.
+
+    The key is salted, so that a root with a third of all rows is eight tasks' work.
+    """
+    signed.select("chunk_id", "batch_no", "root", "paths").repartition("root", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("root", "chunk_id").write.mode("append").parquet(path)
 
 
 def live_entries(new: DataFrame, index: DataFrame) -> DataFrame:
     """The entries under roots that hold a new row and another one. New rows are in the index already.
 
-    Only narrow rows of the forest are read here, no text or vector of history; all
-    other entries can't meet a new row.
+    Roots are counted on narrow columns; paths are read for the roots that are left, and
+    no text or vector of history. All other entries can't meet a new row.
     """
-    near = index.join(new.select("root").distinct(), "root", "left_semi")
-    roots = near.groupBy("root").count().filter("count > 1").select("root")
-    return near.join(roots, "root", "left_semi")
+    ids = index.select("root", "chunk_id").join(new.select("root").distinct(), "root", "left_semi")
+    roots = materialize(ids.groupBy("root").agg(F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi")).filter("lo <> hi").select("root"), "roots")
+    return index.join(roots, "root", "left_semi")
 
 
-def candidates(new: DataFrame, live: DataFrame, depth: int) -> DataFrame:
+def candidates(new: DataFrame, live: DataFrame, first: DataFrame, depth: int) -> DataFrame:
     """(a, b, a_batch): pairs of an earlier entry a and a new entry b that share a prefix of `depth` digits in some tree.
 
     A tree is sorted by root and path, and a prefix is a range of it: the join on
-    (root, tree, prefix) is the search of all ranges at once.
+    (root, tree, prefix) is the search of all ranges at once. `first` has the batch in
+    which each chunk came first, which sets the order.
     """
     cut = (LEVELS - depth) * LEVEL_BITS
-    entries = live.select("chunk_id", "batch_no", "root", F.posexplode("paths").alias("tree", "path")).select("chunk_id", "batch_no", F.xxhash64("root", "tree", F.shiftright("path", cut)).alias("range"))
-    q = entries.join(new.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("b"), F.col("batch_no").alias("b_batch"), "range")
-    d = entries.select(F.col("chunk_id").alias("a"), F.col("batch_no").alias("a_batch"), "range")
+    entries = live.select("chunk_id", "root", F.posexplode("paths").alias("tree", "path")).select("chunk_id", F.xxhash64("root", "tree", F.shiftright("path", cut)).alias("range")).distinct()
+    q = entries.join(new.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("b"), "range")
+    d = entries.select(F.col("chunk_id").alias("a"), "range")
+    pairs = q.join(d, "range").filter("a <> b").select("a", "b").distinct()
+    pairs = pairs.join(first.select(F.col("chunk_id").alias("a"), F.col("first").alias("a_batch")), "a").join(first.select(F.col("chunk_id").alias("b"), F.col("first").alias("b_batch")), "b")
     earlier = (F.col("a_batch") < F.col("b_batch")) | ((F.col("a_batch") == F.col("b_batch")) & (F.col("a") < F.col("b")))
-    return q.join(d, "range").filter(earlier).select("a", "b", "a_batch").distinct()
+    return pairs.filter(earlier & (F.col("b_batch") > 0)).select("a", "b", "a_batch")
 
 
-def verified(pairs: DataFrame, chunks: DataFrame, least_cosine: float) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, least_cosine: float) -> DataFrame:
     """The candidates that are the same message: checked on the whole texts and, where both are usable, on the vectors."""
-    pairs = materialize(pairs, "candidates")
-    asked = pairs.select(F.col("a").alias("chunk_id")).union(pairs.select("b")).distinct()
-    rows = materialize(one_per_chunk(chunks.select("chunk_id", "user_id", "text", "vector").join(asked, "chunk_id", "left_semi"), "user_id", "text", "vector"), "asked")
     left = rows.select(F.col("chunk_id").alias("a"), F.col("text").alias("ta"), F.col("vector").alias("va"), F.col("user_id").alias("ua"))
     right = rows.select(F.col("chunk_id").alias("b"), F.col("text").alias("tb"), F.col("vector").alias("vb"), F.col("user_id").alias("ub"))
     both = pairs.join(left, "a").join(right, "b").filter(F.col("ua").eqNullSafe(F.col("ub"))).select("a", "b", "a_batch", "ta", "tb", "va", "vb")
@@ -249,15 +251,28 @@ def settle(pairs: DataFrame) -> DataFrame:
 def ingest(chunks: DataFrame, signed_new: DataFrame, forest_path: str, recall: float = 0.98, similarity: float = 0.6, least_cosine: float = 0.9) -> DataFrame:
     """(chunk_id) of the new rows to reject, found by range search in the persisted forest; the new run is merged into it.
 
-    `chunks` gives texts and vectors of the rows that are candidates; of history only
-    those are touched beside the forest entries under the roots of new rows.
+    `chunks` gives texts and vectors of the rows under live roots; of history only those
+    are touched beside the forest entries.
     """
-    spark = chunks.sparkSession
     forest_run(signed_new, forest_path)  # its run is sorted as the others, so that new rows meet each other too
-    live = materialize(live_entries(signed_new, spark.read.parquet(forest_path)), "live")
-    todo, got = signed_new.select("chunk_id"), []
+    return reject(chunks, signed_new, chunks.sparkSession.read.parquet(forest_path), recall, similarity, least_cosine)
+
+
+def reject(chunks: DataFrame, new: DataFrame, index: DataFrame, recall: float = 0.98, similarity: float = 0.6, least_cosine: float = 0.9) -> DataFrame:
+    """(chunk_id) of the rows `new` of the forest `index` to reject.
+
+    The prefix begins at its full length and is shortened to the one that finds pairs
+    of `similarity` with probability `recall`; rows that repeat a message of history for
+    sure aren't searched again.
+    """
+    live = materialize(live_entries(new, index), "live")
+    ids = live.select("chunk_id").distinct()
+    rows = chunks.select("chunk_id", "user_id", "batch_no", "text", "vector").join(ids, "chunk_id", "left_semi")
+    rows = materialize(one_per_chunk(rows, "batch_no", "user_id", "text", "vector"), "texts")
+    first = rows.select("chunk_id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("first"))
+    todo, got = new.select("chunk_id").distinct(), []
     for depth in sorted({LEVELS, depth_for(recall, similarity)}, reverse=True):
-        pairs = materialize(verified(candidates(todo, live, depth), chunks, least_cosine), "verified")
+        pairs = materialize(verified(candidates(todo, live, first, depth), rows, least_cosine), "verified")
         got.append(pairs)
         todo = todo.join(pairs.filter("a_batch <= 0").select(F.col("b").alias("chunk_id")).distinct(), "chunk_id", "left_anti")
     every = got[0]
@@ -268,4 +283,4 @@ def ingest(chunks: DataFrame, signed_new: DataFrame, forest_path: str, recall: f
 
 def compact(spark, forest_path: str, to_path: str) -> None:
     """Merge the runs of a forest into one sorted run."""
-    spark.read.parquet(forest_path).repartition("root").sortWithinPartitions("root").write.parquet(to_path)
+    spark.read.parquet(forest_path).repartition("root", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("root", "chunk_id").write.parquet(to_path)

@@ -37,12 +37,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch 0 is the forest's first run; the later batches arrive in order of batch_no, then chunk_id."""
+    """Batch 0 and the later batches are runs of one forest; those arrive in order of batch_no, then chunk_id."""
     chunks = table(spark, sf, "chunks")
-    signed = materialize(history_dedup.sign(chunks), "signed")
-    forest = new_table_path(spark, "forest")
-    history_dedup.forest_run(signed.filter("batch_no <= 0"), forest)
-    return history_dedup.ingest(chunks, signed.filter("batch_no > 0"), forest)
+    path = new_table_path(spark, "forest")
+    history_dedup.forest_run(history_dedup.sign(chunks), path)
+    forest = spark.read.parquet(path)
+    return history_dedup.reject(chunks, forest.filter("batch_no > 0"), forest)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
