@@ -1,0 +1,101 @@
+"""Embedding connectors: an interface, a deterministic local one, and HTTP ones behind a breaker."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import time
+import urllib.request
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+class Embedder(Protocol):
+    def embed_batch(self, texts: list[str]) -> list[list[float]]: ...
+
+
+class HashEmbedder:
+    """Counts of hashed words at length one; the same on every machine, for tests and work without a network."""
+
+    def __init__(self, dims: int = 64):
+        self.dims = dims
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), self.dims))
+        for i, t in enumerate(texts):
+            for w in (t or "").lower().split():
+                out[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dims] += 1
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, n, out=out, where=n > 0).tolist()
+
+
+class Breaker:
+    """Opens after `failures` failures in a row, for `seconds`."""
+
+    def __init__(self, failures: int = 5, seconds: float = 60, clock: Callable[[], float] = time.monotonic):
+        self.most, self.seconds, self.clock, self.failed, self.opened = failures, seconds, clock, 0, None
+
+    def check(self) -> None:
+        if self.opened is not None:
+            if self.clock() - self.opened < self.seconds:
+                raise ConnectionError("the embedding service failed too often; not asked for now")
+            self.opened, self.failed = None, 0
+
+    def note(self, ok: bool) -> None:
+        self.failed = 0 if ok else self.failed + 1
+        if self.failed >= self.most:
+            self.opened = self.clock()
+
+
+class HttpEmbedder:
+    """A service that takes JSON {model, input} and answers with data[].embedding (ordered by index) or embeddings[]."""
+
+    def __init__(self, url: str, model: str, key: str | None = None, attempts: int = 3, send: Callable[[urllib.request.Request], bytes] | None = None, wait: Callable[[float], None] = time.sleep):
+        self.url, self.model, self.key, self.attempts, self.wait = url, model, key, attempts, wait
+        self.send = send or (lambda r: urllib.request.urlopen(r, timeout=60).read())
+        self.breaker = Breaker()
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        self.breaker.check()
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        for n in range(self.attempts):
+            try:
+                got = json.loads(self.send(urllib.request.Request(self.url, body, head)))
+                self.breaker.note(True)
+                return got["embeddings"] if "embeddings" in got else [d["embedding"] for d in sorted(got["data"], key=lambda d: d.get("index", 0))]
+            except OSError:
+                self.breaker.note(False)
+                if n + 1 == self.attempts:
+                    raise
+                self.wait(2.0**n)
+        raise AssertionError
+
+
+REGISTRY: dict[str, Callable[..., Embedder]] = {"hash": HashEmbedder, "http": HttpEmbedder}
+
+
+def make_embedder(kind: str = "hash", **options) -> Embedder:
+    if kind not in REGISTRY:
+        raise ValueError(f"unknown embedder {kind!r}; known: {', '.join(sorted(REGISTRY))}")
+    return REGISTRY[kind](**options)
+
+
+def embed(text: Column, make: Callable[[], Embedder]) -> Column:
+    """Vectors of a text column: one client per task, a request per Arrow batch. Null texts give null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        client = make()
+        for s in batches:
+            known = s.notna()
+            out = pd.Series([None] * len(s), dtype=object)
+            if known.any():
+                out[known.to_numpy()] = pd.Series(client.embed_batch(s[known].tolist()), index=out.index[known.to_numpy()])
+            yield out
+
+    return F.pandas_udf(run, "array<float>")(text)
