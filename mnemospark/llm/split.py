@@ -25,7 +25,7 @@ def _characters(text: str, lo: int, hi: int, most: int) -> Iterator[int]:
     """Cuts in a run without any boundary, none before a combining mark or joiner unless the whole piece is made of them."""
     while hi - lo > most:
         cut = lo + most
-        while cut > lo + most // 2 and (unicodedata.combining(text[cut]) or text[cut] in "‍️︎" or text[cut - 1] == "‍"):
+        while cut > lo + max(1, most // 2) and (unicodedata.combining(text[cut]) or text[cut] in "‍️︎" or text[cut - 1] == "‍"):
             cut -= 1
         yield cut
         lo = cut
