@@ -136,10 +136,10 @@ def orphan_prune(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def endpoint_completion(spark: SparkSession, sf: str) -> DataFrame:
-    """Ends of edges that aren't entities yet come in as concepts; the table's own keys are of one tenth less here, by their last digit."""
+    """Ends of edges that aren't entities yet come in as concepts."""
     e = _edges(spark, sf)
     ends = e.select(F.col("subject_key").alias("entity_key")).unionByName(e.select(F.col("object_key").alias("entity_key"))).distinct()
-    known = people(spark, sf).filter(~F.col("entity_key").endswith("7")).select("entity_key")
+    known = people(spark, sf).select("entity_key")
     return ends.join(known, "entity_key", "left_anti").withColumn("entity_type", F.lit("concept"))
 
 
@@ -296,7 +296,7 @@ SELECT subject_key, object_key, predicate, CAST(sum(n) AS BIGINT) AS mentions FR
     "alias_union": f"""WITH {_P}, {_M}, x AS (SELECT coalesce(m.new, entity_key) AS entity_key, unnest(list_concat(coalesce(aliases, []), [name])) AS alias FROM p LEFT JOIN m ON m.old = entity_key)
 SELECT entity_key, array_to_string(list_sort(list_distinct(list(alias))), '|') AS aliases FROM x WHERE alias IS NOT NULL GROUP BY 1""",
     "orphan_prune": f"WITH {_E}, {_P} SELECT entity_key FROM p WHERE entity_key NOT IN (SELECT subject_key FROM e UNION SELECT object_key FROM e)",
-    "endpoint_completion": f"WITH {_E}, {_P} SELECT entity_key, 'concept' AS entity_type FROM (SELECT subject_key AS entity_key FROM e UNION SELECT object_key FROM e) WHERE entity_key NOT IN (SELECT entity_key FROM p WHERE entity_key NOT LIKE '%7')",
+    "endpoint_completion": f"WITH {_E}, {_P} SELECT entity_key, 'concept' AS entity_type FROM (SELECT subject_key AS entity_key FROM e UNION SELECT object_key FROM e) WHERE entity_key NOT IN (SELECT entity_key FROM p)",
     "entity_mentions": f"""WITH {S.TEXTS}, n AS (SELECT chunk_id, unnest({S.proper('text')}) AS n FROM t),
 x AS (SELECT chunk_id, lower(regexp_replace(n, '\\s+', ' ', 'g')) AS key, CASE WHEN contains(n, ' ') THEN 'concept' ELSE 'person' END AS kind FROM n WHERE n NOT IN ({S.quoted(L.ENTITY_STOP_WORDS)}) AND length(n) >= 2
   UNION ALL SELECT chunk_id, key, 'tool' FROM (SELECT chunk_id, unnest(list_filter({S.tokens('text')}, lambda w: w IN ({S.quoted(L.TOOL_WORDS)}))) AS key FROM t))
