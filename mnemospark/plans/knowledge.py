@@ -189,31 +189,51 @@ def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
 
 
+FUZZY = 0.8  # the bounds of _grams and fuzzy_resolve are worked out for this ratio
+
+
+def _grams(s):
+    """Pairs of characters of a text with both ends marked, each numbered by how often it came before: L + 1 different values."""
+    padded = F.concat(F.lit("\u0001"), s, F.lit("\u0002"))
+    plain = F.transform(F.sequence(F.lit(1), F.length(s) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, 1, i + 1), lambda x: x == g)).cast("string")))
+
+
 def fuzzy_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    """Mentions that no name equals against the names of their user that share a rare trigram; the best ratio of 0.8 at least.
+    """Mentions that no name equals against all names and aliases of their user; the best ratio of 0.8 at least, of equal ones the greatest key.
 
-    Equal names and containment are settled in the JVM; only the rest goes to Python.
-    Candidates are those of the mention's rarest trigram that some name has, so a
-    common one makes no large group.
+    No pair of that ratio is missed. With M of S = a + b characters matched in order, M >= 0.4 S,
+    so lengths differ by a half at most; a deletion breaks two grams of a and an insertion one,
+    which leaves 3 M - S + 1 shared grams at least, and a / 3 + 1 whatever b is. Texts that share
+    so many have one in common among the rarest a + 1 - ceil(a / 3) of each, in one order of all
+    grams. A pair is taken at its first common gram only. Containment is bounded alike.
     """
     c = one_per_chunk(table(spark, sf, "chunks"), "entity_mentions", "user_id")
     m = c.select("user_id", F.explode("entity_mentions").alias("mention")).filter("mention is not null").select("user_id", F.lower(T.normalize_name(F.col("mention"))).alias("key")).distinct()
-    p = people(spark, sf).select("user_id", "entity_key", F.lower(F.regexp_replace(T.normalize_name(F.col("name")), r" \d+$", "")).alias("name"))
-    m = m.join(p.select("user_id", F.col("name").alias("key")).distinct(), ["user_id", "key"], "left_anti")
-
-    def grams(col: str):
-        n = F.length(col)
-        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.substring(F.col(col), i, F.lit(3)))))
-
-    names = p.select("user_id", "entity_key", "name", grams("name").alias("g"))
-    rare = names.groupBy("user_id", "g").agg(F.count(F.lit(1)).alias("df"))
-    asked = m.select("user_id", "key", grams("key").alias("g")).join(rare, ["user_id", "g"])
-    pick = asked.groupBy("user_id", "key").agg(F.min(F.struct("df", "g")).alias("r")).select("user_id", "key", "r.g")
+    p = people(spark, sf)
+    bare = lambda c: F.lower(F.regexp_replace(T.normalize_name(F.col(c)), r" \d+$", ""))
+    m = m.join(p.select("user_id", bare("name").alias("key")).distinct(), ["user_id", "key"], "left_anti")
+    said = p.select("user_id", "entity_key", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("said"))
+    names = said.select("user_id", "entity_key", bare("said").alias("name")).filter("name <> ''").groupBy("user_id", "name").agg(F.max("entity_key").alias("entity_key"))
+    names = materialize(names.withColumn("grams", _grams(F.col("name"))), "names")
+    rare = names.select("user_id", F.explode("grams").alias("g")).groupBy("user_id", "g").agg(F.count(F.lit(1)).alias("df"))
+
+    def in_order(rows: DataFrame, text: str, *more: str) -> DataFrame:
+        g = rows.select("user_id", text, *more, F.explode("grams").alias("g")).join(rare, ["user_id", "g"], "left")
+        o = g.groupBy("user_id", text, *more).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("o"))
+        o = o.select("user_id", text, *more, F.col("o.g").alias(f"{text}_all"))
+        first = F.length(text) + 1 - F.ceil(F.length(text) / 3).cast("int")
+        return o.withColumn(f"{text}_first", F.slice(f"{text}_all", 1, first)).withColumn("g", F.explode(f"{text}_first"))
+
+    asked = in_order(materialize(m.filter("key <> ''").withColumn("grams", _grams(F.col("key"))), "asked"), "key")
+    a, b = F.length("key"), F.length("name")
+    shared = 3 * F.floor((2 * (a + b) + 4) / 5) - (a + b) + 1
+    near = (3 * F.least(a, b) >= 2 * F.greatest(a, b)) & (F.get(F.array_intersect("key_first", "name_first"), F.lit(0)) == F.col("g")) & (F.size(F.array_intersect("key_all", "name_all")) >= shared)
+    pairs = asked.join(in_order(names, "name", "entity_key"), ["user_id", "g"]).filter(near).select("user_id", "key", "entity_key", "name")
     ratio = F.pandas_udf(_ratio, "double")
-    pairs = pick.join(names, ["user_id", "g"]).select("user_id", "key", "entity_key", "name")
     inside = F.col("name").contains(F.col("key")) | F.col("key").contains(F.col("name"))
-    score = F.when(inside, 0.95 * F.least(F.length("key"), F.length("name")) / F.greatest(F.length("key"), F.length("name"))).otherwise(ratio("key", "name"))
-    best = pairs.withColumn("score", score).filter("score >= 0.8").groupBy("user_id", "key").agg(F.max(F.struct("score", "entity_key")).alias("r"))
+    score = F.when(F.col("key") == F.col("name"), 1.0).when(inside, 0.95 * F.least(a, b) / F.greatest(a, b)).otherwise(ratio("key", "name"))
+    best = pairs.withColumn("score", score).filter(F.col("score") >= FUZZY).groupBy("user_id", "key").agg(F.max(F.struct("score", "entity_key")).alias("r"))
     return best.select("user_id", F.col("key").alias("mention"), "r.entity_key", F.round("r.score", 6).alias("score"))
 
 
