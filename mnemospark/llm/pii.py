@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +16,8 @@ from mnemospark.llm import boosting
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 SAMPLE_TEXTS = 20_000
+COUNT_TEXTS = 40_000  # word counts of larger inputs are stated for so many texts
+FLUSH = 200_000
 
 # --- candidates: high recall, overlapping ----------------------------------------------
 _AT = r"(?:[ \t]?[@＠][ \t]?|[ \t]?[(\[{][ \t]?at[ \t]?[)\]}][ \t]?|[ \t]+at[ \t]+)"
@@ -58,12 +60,12 @@ ADDRESS_LEFT = re.compile(r"(?:lives? at|moved to|ship it to|home address:?|went
 
 @dataclass
 class Lexicon:
-    """What is known of words: names of the given list, and from the sample how varied the words before one are and how often it is written small."""
+    """What is known of words: names of the given list, and from all texts how varied the words before one are and how often it is written small."""
 
     given: frozenset[str]
     family: frozenset[str]
-    variety: dict[str, int]
-    small: dict[str, int]
+    variety: dict[str, float]
+    small: dict[str, float]
 
     def __post_init__(self):
         self.known = self.given | self.family
@@ -206,18 +208,55 @@ def candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
     yield from _name_candidates(text, lex)
 
 
-def _lexicon(texts: list[str], names: list[tuple[str, str]]) -> Lexicon:
-    before: dict[str, set[str]] = defaultdict(set)
-    small: dict[str, int] = defaultdict(int)
-    for t in texts:
-        for m in PAIR.finditer(t):
-            if not m.group(2).startswith(","):
-                before[m.group(3)].add(m.group(1))
-        for w in re.findall(r"(?<=[a-z,] )[a-z][a-z'\-]+(?=[ ,;!?]|\.\s|$)", t):
-            small[w] += 1
+SMALL = re.compile(r"(?<=[a-z,] )[a-z][a-z'\-]+(?=[ ,;!?]|\.\s|$)")
+
+
+def _words(t: str) -> Iterator[tuple[str, str | None]]:
+    """(second word, word before it) of every pair with capitals, and (word, None) of every word written small."""
+    for m in PAIR.finditer(t):
+        if not m.group(2).startswith(","):
+            yield m.group(3), m.group(1)
+    for w in SMALL.findall(t):
+        yield w, None
+
+
+def _as_lexicon(variety: dict[str, float], small: dict[str, float], names: list[tuple[str, str]]) -> Lexicon:
     given = frozenset(n.lower() for n, k in names if n and k == "given")
     family = frozenset(n.lower() for n, k in names if n and k == "family")
-    return Lexicon(given, family, {w: len(b) for w, b in before.items() if len(b) > 1}, {w: c for w, c in small.items() if c > 1})
+    return Lexicon(given, family, variety, small)
+
+
+def _lexicon(texts: list[str], names: list[tuple[str, str]]) -> Lexicon:
+    counts = Counter(x for t in texts for x in _words(t))
+    before = Counter(w for w, b in counts if b is not None)
+    return _as_lexicon({w: n for w, n in before.items() if n > 1}, {w: c for (w, b), c in counts.items() if b is None and c > 1}, names)
+
+
+def word_counts(df: DataFrame, text: str, n: int, base: int = COUNT_TEXTS) -> DataFrame:
+    """(w, small, n): how varied the words before w are, and how often it is written small, over all n texts.
+
+    Both are what `base` of the texts have on average, so limits hold alike at every
+    size: a pair seen c times is in a share f of the texts with 1 - (1 - f) ** c.
+    Counts that are 1 at most are dropped.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(counts: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "b", "c"])
+
+        counts: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                counts.update(_words(t.as_py()))
+                if len(counts) > FLUSH:
+                    yield out(counts)
+                    counts.clear()
+        yield out(counts)
+
+    f = min(1.0, base / max(1, n))
+    pairs = df.filter(F.length(text) > 0).select(text).mapInArrow(run, "w string, b string, c bigint").groupBy("w", "b").agg(F.sum("c").alias("c"))
+    share = F.when(F.col("b").isNull(), f * F.col("c")).otherwise(F.lit(1.0) if f == 1 else 1 - F.pow(F.lit(1 - f), F.col("c")))
+    return pairs.groupBy("w", F.col("b").isNull().alias("small")).agg(F.sum(share).alias("n")).filter("n > 1")
 
 
 @dataclass
@@ -247,9 +286,9 @@ class Detector:
         return out
 
 
-def fit_detector(texts: list[str], names: list[tuple[str, str]]) -> Detector:
-    """Trees per kind from the weakly labelled candidates of a bounded sample of texts."""
-    lex = _lexicon(texts, names)
+def fit_detector(texts: list[str], names: list[tuple[str, str]], lex: Lexicon | None = None) -> Detector:
+    """Trees per kind from the weakly labelled candidates of a bounded sample of texts; without a lexicon, words are counted in these texts."""
+    lex = lex or _lexicon(texts, names)
     rows: dict[str, list[Candidate]] = {k: [] for k in KINDS}
     for t in texts:
         for c in candidates(t, lex):
@@ -269,11 +308,15 @@ def fit_detector(texts: list[str], names: list[tuple[str, str]]) -> Detector:
 
 
 def train(df: DataFrame, names: DataFrame, key: str, text: str, sample: int = SAMPLE_TEXTS) -> Detector:
-    """Fit on about `sample` texts chosen by a hash of the key."""
+    """Count words in all texts, and fit the trees on about `sample` texts chosen by a hash of the key."""
     n = df.filter(F.col(text).isNotNull()).count()
     step = max(1, n // max(1, sample))
     texts = [r[0] for r in df.filter(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(step)) == 0)).select(text).limit(2 * sample).collect()]
-    return fit_detector(texts, [(r[0], r[1]) for r in names.select("name_text", "name_kind").collect()])
+    given = [(r[0], r[1]) for r in names.select("name_text", "name_kind").collect()]
+    counts: tuple[dict[str, float], dict[str, float]] = {}, {}
+    for w, small, c in word_counts(df, text, n).orderBy("small", "w").collect():
+        counts[small][w] = c
+    return fit_detector(texts, given, _as_lexicon(*counts, given))
 
 
 def find_items(df: DataFrame, names: DataFrame, key: str = "chunk_id", text: str = "text", sample: int = SAMPLE_TEXTS) -> DataFrame:
@@ -281,9 +324,9 @@ def find_items(df: DataFrame, names: DataFrame, key: str = "chunk_id", text: str
 
     Generators propose overlapping spans for email addresses, phone numbers, identity
     numbers, postal addresses and names; boosted trees on format and context, fitted on
-    a bounded sample, score them; calibrated thresholds select. Nulls and empty texts
+    a bounded sample with words counted over all texts, score them; calibrated thresholds select. Nulls and empty texts
     have no items; repeated rows come out as often as they go in; other columns are
-    dropped. `names` is a small fixed table. A narrow map: no shuffle.
+    dropped. `names` is a small fixed table. Finding is a narrow map; only word counts are shuffled.
     """
     model = train(df, names, key, text, sample)
     kind_of_key = dict(df.dtypes)[key]
