@@ -58,6 +58,29 @@ def components(edges: DataFrame, src: str, dst: str, most_rounds: int = 60) -> D
     return nodes.join(labels, nodes["node"] == labels["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def greedy_groups(edges: DataFrame, src: str, dst: str, least_peers: int = 2) -> DataFrame:
+    """(seed, node): in order of id, a node with enough peers that is in no earlier group forms one with all its peers, itself among them.
+
+    Groups may share nodes, as a peer may be in one already. Each round settles every
+    open node that is less than all open nodes beside it, and those beside these, until
+    none is open.
+    """
+    both = materialize(undirected(edges, src, dst).filter("u <> v"), "peers")
+    apt = both.groupBy("u").count().filter(F.col("count") >= least_peers).select("u")
+    # only nodes that could form a group stand in each other's way
+    rival = materialize(both.join(apt, "u", "left_semi").join(apt.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v"), "rivals")
+    left = materialize(apt, "open")
+    seeds = None
+    while not left.isEmpty():
+        least = rival.join(left, "u", "left_semi").join(left.select(F.col("u").alias("v")), "v", "left_semi").groupBy("u").agg(F.min("v").alias("m"))
+        new = materialize(left.join(least, "u", "left").filter("m is null or u < m").select("u"), "seeds")
+        seeds = new if seeds is None else seeds.unionByName(new)
+        gone = new.unionByName(rival.join(new, "u", "left_semi").select(F.col("v").alias("u")))
+        left = materialize(left.join(gone, "u", "left_anti"), "open")
+    seeds = apt.limit(0) if seeds is None else seeds
+    return seeds.select(F.col("u").alias("seed"), F.col("u").alias("node")).unionByName(both.join(seeds, "u", "left_semi").select(F.col("u").alias("seed"), F.col("v").alias("node")))
+
+
 def merge_nodes(edges: DataFrame, merges: DataFrame, src: str, dst: str, keep: list[str], count: str) -> DataFrame:
     """Edges with merged nodes in the place of the old ones: loops go, edges that became equal add up their counts.
 

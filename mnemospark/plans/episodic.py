@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import lexicon as L
 from mnemospark.functions import text as T
 from mnemospark.functions.decay import days_between
+from mnemospark.operators.graph import greedy_groups
 from mnemospark.operators.ranking import ranked
 from mnemospark.operators.search import Weights, fused_search
 from mnemospark.plans import sqlkit as S
@@ -138,12 +139,18 @@ def coretrieval_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topic_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks with at least two peers that were retrieved with them, and the peers in order of id (at most ten)."""
+    """Chunks with at least two peers that were retrieved with them, and the peers in order of id (at most ten, as its SQL has it; `topic_groups` has whole groups)."""
     pairs = coretrieval_pairs(spark, sf)
     few = F.slice(F.array_sort(F.collect_set("b")), 1, 10)  # a chunk's peers come from the five hits of each query it was in
     return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("peers"), F.array_join(few, ",").alias("members")).filter("peers >= 2").withColumnRenamed("a", "chunk_id")
 
 
+def topic_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of chunks retrieved together three times at least, a row per member; a group has the id of the chunk that formed it."""
+    strong = coretrieval_pairs(spark, sf).filter("times >= 3")
+    return greedy_groups(strong, "a", "b").select(F.col("seed").alias("topic"), F.col("node").alias("chunk_id"))
+
+
 def budget_trim(spark: SparkSession, sf: str) -> DataFrame:
     """Messages of each conversation from the newest on, as long as their tokens fit 100."""
     c = one_per_chunk(table(spark, sf, "chunks").filter("text is not null and timestamp is not null and coalesce(conversation_id, '') <> ''"), "text", "timestamp", "conversation_id")
@@ -191,7 +198,7 @@ def summary_density(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "fused_topk": fused_topk, "chunk_windows": chunk_windows, "token_counts": token_counts, "importance_scores": importance_scores, "distinctive_tokens": distinctive,
     "fused_topk_filtered": fused_topk_filtered, "legacy_topk": legacy_topk, "own_topk": own_topk, "novelty": novelty, "smart_dedup": smart_dedup,
-    "tier_assignment": tier_assignment, "coretrieval_pairs": coretrieval_pairs, "topic_clusters": topic_clusters, "budget_trim": budget_trim, "session_summary": session_summary,
+    "tier_assignment": tier_assignment, "coretrieval_pairs": coretrieval_pairs, "topic_clusters": topic_clusters, "topic_groups": topic_groups, "budget_trim": budget_trim, "session_summary": session_summary,
     "extraction_gate": extraction_gate, "turn_batches": turn_batches, "summary_density": summary_density,
 }
 
