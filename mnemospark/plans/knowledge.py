@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,6 +257,35 @@ def relation_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return parts.filter("at > 1").select("chunk_id", "no", subject.alias("subject"), F.regexp_replace("cue", "s$", "").alias("predicate"), F.trim(obj).alias("object")).filter("object <> ''")
 
 
+RELATION_CUES = {
+    "works_on": r"(?:works?\s+on|working\s+on)", "leads": r"(?:leads?|leading)", "uses": r"(?:uses?|using)", "researches": r"(?:researching|researches?)",
+    "manages": r"(?:manages?|managing)", "is_a": r"(?:is\s+a|is\s+an|is\s+the)", "prefers": r"(?:prefers?|preferring)",
+}
+_RELATIONS = [(p, re.compile(rf"\s{c}\s", re.IGNORECASE), re.compile(rf"(\b[A-Z]\w+(?:\s+[A-Z]\w+)*)\s+{c}\s+(.+?)(?:\.|,|$)", re.IGNORECASE)) for p, c in RELATION_CUES.items()]
+
+
+def relations_in(text: str) -> Iterator[tuple[str, int, str, str]]:
+    """(predicate, where, subject, object) of every match of every pattern; no search goes on where no cue is left."""
+    for predicate, cue, pattern in _RELATIONS:
+        at = 0
+        while cue.search(text, at) and (m := pattern.search(text, at)):
+            yield predicate, m.start(), m.group(1).strip(), m.group(2).strip()
+            at = m.end()
+
+
+def relation_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """All relations in texts by the reference's seven patterns: a cue in the JVM first, then the patterns in Python, as Java's would overflow its stack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(c, *r) for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in relations_in(t)]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["chunk_id", "predicate", "at", "subject", "object"])
+
+    cued = texts(spark, sf).filter(F.col("text").rlike(rf"(?iU)\s(?:{'|'.join(RELATION_CUES.values())})\s"))
+    return cued.select("chunk_id", "text").mapInArrow(run, "chunk_id string, predicate string, at int, subject string, object string")
+
+
 def knowledge_expansion(spark: SparkSession, sf: str) -> DataFrame:
     """For every seed entity the three neighbours of strongest live facts, by confidence then name."""
     e = _edges(spark, sf)
@@ -267,7 +298,7 @@ QUERIES = {
     "fact_decay": fact_decay, "adaptive_decay": adaptive_decay, "reinforce_fold": reinforce_fold, "contradictions_direct": contradictions_direct, "contradictions_negation": contradictions_negation,
     "fact_current_state": fact_current_state, "graph_bfs2": graph_bfs2, "graph_components": graph_components, "entity_merge": entity_merge, "alias_union": alias_union, "orphan_prune": orphan_prune,
     "endpoint_completion": endpoint_completion, "entity_mentions": entity_mentions, "consolidation_promote": consolidation_promote, "entity_normalize": entity_normalize, "alias_resolve": alias_resolve,
-    "acronym_resolve": acronym_resolve, "fuzzy_resolve": fuzzy_resolve, "attribute_merge": attribute_merge, "relation_sentences": relation_sentences, "knowledge_expansion": knowledge_expansion,
+    "acronym_resolve": acronym_resolve, "fuzzy_resolve": fuzzy_resolve, "attribute_merge": attribute_merge, "relation_sentences": relation_sentences, "relation_matches": relation_matches, "knowledge_expansion": knowledge_expansion,
 }
 
 _F = r"""f AS (SELECT DISTINCT ON (id) id, user_id, subject_key, object_key, confidence, first_seen, last_seen, mention_count,
