@@ -75,7 +75,32 @@ def relative_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("no", F.coalesce(F.concat(F.lit("on "), F.date_format(d, "d MMMM yyyy")), F.col("said")).alias("text"))
 
 
-QUERIES = {"chunk_decay": chunk_decay, "eviction_candidates": eviction_candidates, "fact_status_counts": fact_status_counts, "fact_keys": fact_keys, "extraction_stats": extraction_stats, "fact_dedup": fact_dedup, "relative_phrases": relative_phrases}
+RELATIVE = (
+    r"(?iU)\b(yesterday|today|last\s+(?:week|month|year|night|time)|this\s+(?:week|month|year|morning|afternoon|evening)|the\s+other\s+day|"
+    r"(?:a\s+)?(?:few|couple(?:\s+of)?)\s+(?:days?|weeks?|months?)\s+ago|\d+\s+(?:days?|weeks?|months?|years?)\s+ago|recently|lately|just\s+(?:now|recently))\b"
+)
+
+
+def with_dates(text: Column, day: Column) -> Column:
+    """A text with every phrase of time replaced by the day it means for a session on `day`; phrases that mean none, or one before the year 1, stay."""
+    rest, said = F.split(text, RELATIVE, -1), F.regexp_extract_all(text, F.lit(RELATIVE), 1)
+
+    def dated(s: Column) -> Column:
+        d = said_date(F.lower(s), day)
+        sound = (F.length(F.regexp_extract(s, r"(\d*)", 1)) <= 6) & (d >= F.lit("0001-01-01").cast("date"))
+        return F.when(sound, F.concat(F.lit("on "), F.date_format(d, "d MMMM yyyy"))).otherwise(s)
+
+    days = F.transform(said, dated)
+    return F.array_join(F.zip_with(rest, days, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def text_with_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that hold phrases of time, those rewritten against the day of the message."""
+    c = one_per_chunk(table(spark, sf, "chunks").filter(F.col("timestamp").isNotNull() & F.col("text").rlike(RELATIVE)), "text", "timestamp")
+    return c.select("chunk_id", with_dates(F.col("text"), F.col("timestamp").cast("date")).alias("text"))
+
+
+QUERIES = {"text_with_dates": text_with_dates, "chunk_decay": chunk_decay, "eviction_candidates": eviction_candidates, "fact_status_counts": fact_status_counts, "fact_keys": fact_keys, "extraction_stats": extraction_stats, "fact_dedup": fact_dedup, "relative_phrases": relative_phrases}
 
 _C = f"""c AS (SELECT chunk_id, any_value(confidence) AS confidence, any_value(access_count) AS a, greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(any_value(timestamp))) / 8.64e10) AS d
   FROM chunks WHERE chunk_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1)"""
