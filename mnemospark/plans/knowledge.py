@@ -88,6 +88,15 @@ def contradictions_negation(spark: SparkSession, sf: str) -> DataFrame:
     return r.filter("one = 0").join(works, ["user_id", "seen"]).select(F.col("event_id").alias("negation"), "negated", "user_id")
 
 
+def facts_negated(spark: SparkSession, sf: str) -> DataFrame:
+    """Active facts whose predicate negates another, against every earlier active fact of that predicate and subject, whatever the object: the newer one wins."""
+    f = facts(spark, sf).filter("first_seen is not null and status = 'active'").withColumn("at", F.struct("first_seen", "id"))
+    positive = F.element_at(F.create_map(*[F.lit(x) for p, n in L.NEGATIONS.items() for x in (n, p)]), F.col("predicate"))
+    new = f.withColumn("predicate", positive).filter("predicate is not null").select("user_id", "subject_key", "predicate", F.col("id").alias("winner"), F.col("at").alias("new_at"))
+    old = f.filter(F.col("predicate").isin(list(L.NEGATIONS))).select("user_id", "subject_key", "predicate", F.col("id").alias("loser"), "at")
+    return old.join(new, ["user_id", "subject_key", "predicate"]).filter("at < new_at").select("winner", "loser", "predicate", F.lit("negation").alias("kind"))
+
+
 def fact_current_state(spark: SparkSession, sf: str) -> DataFrame:
     """The update of each fact that took effect last, unless it superseded or retracted the fact; retracted facts have no confidence."""
     f = facts(spark, sf).filter("first_seen is not null and last_seen is not null")
@@ -295,7 +304,7 @@ def knowledge_expansion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "fact_decay": fact_decay, "adaptive_decay": adaptive_decay, "reinforce_fold": reinforce_fold, "contradictions_direct": contradictions_direct, "contradictions_negation": contradictions_negation,
+    "fact_decay": fact_decay, "adaptive_decay": adaptive_decay, "reinforce_fold": reinforce_fold, "contradictions_direct": contradictions_direct, "contradictions_negation": contradictions_negation, "facts_negated": facts_negated,
     "fact_current_state": fact_current_state, "graph_bfs2": graph_bfs2, "graph_components": graph_components, "entity_merge": entity_merge, "alias_union": alias_union, "orphan_prune": orphan_prune,
     "endpoint_completion": endpoint_completion, "entity_mentions": entity_mentions, "consolidation_promote": consolidation_promote, "entity_normalize": entity_normalize, "alias_resolve": alias_resolve,
     "acronym_resolve": acronym_resolve, "fuzzy_resolve": fuzzy_resolve, "attribute_merge": attribute_merge, "relation_sentences": relation_sentences, "relation_matches": relation_matches, "knowledge_expansion": knowledge_expansion,
