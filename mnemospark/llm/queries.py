@@ -37,12 +37,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch 0 and the later batches are runs of one forest; those arrive in order of batch_no, then chunk_id."""
-    chunks = table(spark, sf, "chunks")
-    path = new_table_path(spark, "forest")
-    history_dedup.forest_run(history_dedup.sign(chunks), path)
-    forest = spark.read.parquet(path)
-    return history_dedup.reject(chunks, forest.filter("batch_no > 0"), forest)
+    """Batch by batch through the forest, in order of batch_no, then chunk_id."""
+    return history_dedup.by_batches(table(spark, sf, "chunks"), new_table_path(spark, "forest")).distinct()
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,67 +1,33 @@
-import datetime as dt
-import json
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import conversations as C
 from mnemospark.llm import history_dedup as H
+from mnemospark.llm.messages import same_message, words
 from mnemospark.session import new_table_path
 
-CH = "chunk_id string, vector array<float>, text string, timestamp timestamp_ntz, conversation_id string, speaker string, extra string, user_id string, batch_no int, role string"
-t = lambda n: dt.datetime(2024, 1, 1, 0, n)
 
-
-def row(cid, conv, speaker, text, when, to=None, user="u", batch=0, extra=None):
-    return (cid, None, text, when, conv, speaker, extra if extra is not None else json.dumps({"reply_to": to}) if to else None, user, batch, "clash")
-
-
-def aliases(spark):
-    return spark.createDataFrame([("user", "user"), ("ai", "assistant"), ("sys", "system"), ("tool", "tool")], "alias_text string, speaker_role string")
-
-
-def test_sound_conversations(spark):
-    rows = [
-        row("a1", "A", "User:", "q", t(1)), row("a2", "A", " AI ", "r", t(1), "a1"), row("a3", "A", "sys", "s", t(1)), row("a4", "A", "user", " \u200b\xa0", t(2)), row("a1", "A", "User:", "q", t(1), batch=3),
-        row("b1", "B", "user", "q", t(1)), row("b2", "B", "ai", "r", None),
-        row("c1", "C", "user", "q", t(1)), row("c2", "C", "who", "r", t(2)),
-        row("d1", "D", "user", "q", t(1)), row("d2", "D", "ai", "r", t(2), user="v"),
-        row("e1", "E", "user", "q", t(1)), row("e2", "E", "ai", "r", t(2), "a1"),
-        row("f1", "F", "user", "q", t(1)), row("f2", "F", "ai", "r", t(2)), row("f3", "F", "user", "q2", t(3)),
-        row("g1", "G", "user", "q", t(1), extra='{"reply_to": "zz", "cl'), row("g2", "G", "ai", "r", t(2)),
-        row("h1", "", "user", "q", t(1)), row("h2", None, "ai", "r", t(2)), row("i1", "I", "ai", None, t(1)),
+def test_same_message():
+    a = "If Joniar Ridge agrees, copy the side letter by 2024-05-04. Done: 9389 items of the witness line are tested after two attempts."
+    same = [
+        a.upper(), a.replace("the side", "side"), a.replace(" ", "\xa0"), a.replace("copy", "cpoy"), "FYI: " + a, a + " sent from my phone", a.replace("2024-05", "2024‑05"),
+        "Done: 9389 items of the witness line are tested after two attempts. If Joniar Ridge agrees, copy the side letter by 2024-05-04.", a.replace("9389", "9,389"), a.replace("2024-05-04", "4 May 2024"), a.replace("2024-05-04", "May 4, 2024"),
     ]
-    for hot in (10**6, 1):
-        got = [(r["conversation_id"], r["turn_no"], r["chunk_id"]) for r in C.rebuild(spark.createDataFrame(rows, CH), aliases(spark), hot).orderBy("conversation_id", "turn_no").collect()]
-        assert got == [("A", 1, "a3"), ("A", 2, "a1"), ("A", 3, "a2"), ("G", 1, "g1"), ("G", 2, "g2")]
-    assert C.rebuild(spark.createDataFrame([], CH), aliases(spark)).count() == 0
-
-
-def test_threads_by_pointer_jumping(spark):
-    rng = random.Random(2)
-    rows = [("L", f"l{i:03d}", f"l{i - 1:03d}" if i else None) for i in range(300)]
-    rows += [("T", f"t{i}", f"t{rng.randrange(i)}" if i else None) for i in range(60)]
-    rows += [("Z", "z1", "z2"), ("Z", "z2", "z3"), ("Z", "z3", "z1"), ("Z", "z4", "z1"), ("Z", "o1", "gone"), ("Z", "o2", "o1"), ("Z", "s", "s")]
-    got = {(r["conversation_id"], r["chunk_id"]): r for r in C.resolve_threads(spark.createDataFrame(rows, "conversation_id string, chunk_id string, parent string")).collect()}
-    assert len(got) == len(rows)
-    assert all(got["L", f"l{i:03d}"]["depth"] == i and got["L", f"l{i:03d}"]["root"] == "l000" for i in range(300))
-    parent = {c: p for k, c, p in rows if k == "T"}
-    for c in parent:
-        d, x = 0, c
-        while parent[x]:
-            x, d = parent[x], d + 1
-        assert (got["T", c]["root"], got["T", c]["depth"]) == (x, d)
-    assert all(got["Z", c]["cycle"] for c in ("z1", "z2", "z3", "z4", "s"))
-    assert got["Z", "o2"]["orphan"] and got["Z", "o1"]["orphan"] and not got["T", "t5"]["orphan"]
+    other = [a.replace("9389", "9388"), a.replace("2024-05-04", "2024-05-05"), a.replace("2024-05-04", "4 June 2024"), a.replace("Joniar Ridge", "Hebriand Atlas"), a.replace("agrees", "never agrees"), a.replace("copy", "burn"), "Quite another text on 9389 and 2024-05-04 here."]
+    assert [b for b in same if not same_message(a, b)] == []
+    assert [b for b in other if same_message(a, b)] == []
+    assert not same_message("We meet on Monday after the long call", "We meet on Sunday after the long call")
+    assert same_message("I've sent the signed form to the desk", "I have sent the signed form to the desk")
 
 
-def test_same_message():
-    a = "If Joniar Ridge agrees, copy the side letter by 2024-05-04. Done: 9389 items of the witness line are tested after two attempts."
-    same = [a.upper(), a.replace("the side", "side"), a.replace(" ", "\xa0"), a.replace("copy", "cpoy"), "FYI: " + a, a + " sent from my phone", a.replace("2024-05", "2024‑05"), "Done: 9389 items of the witness line are tested after two attempts. If Joniar Ridge agrees, copy the side letter by 2024-05-04."]
-    other = [a.replace("9389", "9388"), a.replace("2024-05-04", "2024-05-05"), a.replace("Joniar Ridge", "Hebriand Atlas"), a.replace("agrees", "never agrees"), "Quite another text on 9389 and 2024-05-04 here."]
-    assert all(H.same_message(a, b) for b in same)
-    assert not any(H.same_message(a, b) for b in other)
-    assert not H.same_message("We meet on Monday after the long call", "We meet on Sunday after the long call")
+@pytest.mark.parametrize("a,b", [("see you at 3pm in the big lobby", "see you at 3 pm in the big lobby"), ("it comes to 1,000 for the lot", "it comes to 1000 for the lot"), ("we need it by 2024-05-04 at the latest", "we need it by 4 May 2024 at the latest")])
+def test_spellings_of_numbers_meet_under_one_root(spark, a, b):
+    assert same_message(a, b) and words(a) == words(b)
+    df = spark.createDataFrame([("a", "u", a, None), ("b", "u", b, None)], "chunk_id string, user_id string, text string, vector array<float>")
+    assert H.route(df, 16).select("root").distinct().count() == 1
 
 
 def greedy(rows):
@@ -69,7 +35,7 @@ def greedy(rows):
     for r in sorted(rows, key=lambda r: (r["batch_no"], r["chunk_id"])):
         if r["text"] is None or len(r["text"]) < 25:
             continue
-        if r["batch_no"] > 0 and any(k["user_id"] == r["user_id"] and H.same_message(k["text"], r["text"]) for k in kept):
+        if r["batch_no"] > 0 and any(k["user_id"] == r["user_id"] and same_message(k["text"], r["text"]) for k in kept):
             out.add(r["chunk_id"])
         else:
             kept.append(r)
@@ -96,40 +62,74 @@ def frame(spark, rows):
     return spark.createDataFrame([(r["chunk_id"], r["user_id"], r["batch_no"], r["text"], r["vector"], "clash") for r in rows], SCH)
 
 
-def test_one_call_batch_by_batch_and_brute_force_agree(spark):
+
+def test_batches_and_brute_force_agree(spark):
+    """In buckets, with runs merged on the way, and by the joins of hot roots."""
     rows = make()
     df = frame(spark, rows + rows[:3])
     want = greedy(rows)
+    assert len(want) > 50
+    for options in ({"most_runs": 2}, {"hot_rows": 15, "most_runs": 2}):
+        assert {r[0] for r in H.by_batches(df, new_table_path(spark, "t"), **options).collect()} == want, options
+
+
+def test_hot_roots_with_vectors_agree(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(160):
+        base = np.zeros(64)
+        base[rng.integers(3)] = 1
+        v = (base + rng.normal(0, 0.05, 64)).tolist() if rng.random() < 0.9 else None
+        text = ["Please look at the ledger of the old office again", "Please look at teh ledger of the old office again", "Please look at the ledger of the old office again thanks", "A wholly different message about the greenhouse vents"][rng.integers(4)]
+        rows.append({"chunk_id": f"c{i:03d}", "user_id": "u", "batch_no": int(rng.integers(3)), "text": text, "vector": v})
+    df = frame(spark, rows)
+
+    def near(a, b):
+        return a is None or b is None or np.dot(a, b) >= 0.9 * np.linalg.norm(a) * np.linalg.norm(b)
+
+    kept, want = [], set()
+    for r in sorted(rows, key=lambda r: (r["batch_no"], r["chunk_id"])):
+        f32 = None if r["vector"] is None else np.float32(r["vector"]).astype(float)
+        if r["batch_no"] > 0 and any(near(k, f32) and same_message(t, r["text"]) for k, t in kept):
+            want.add(r["chunk_id"])
+        else:
+            kept.append((f32, r["text"]))
+    for hot in (10**6, 20):
+        assert {r[0] for r in H.by_batches(df, new_table_path(spark, "t"), hot_rows=hot).collect()} == want, hot
+
+
+def test_copies_make_few_candidates():
+    n = 1000
+    t = pa.table({"chunk_id": [f"c{i:04d}" for i in range(n)], "root": pa.array([7] * n, pa.int64()), "bucket": pa.array([0] * n, pa.int32()), "text": ["the same message as before, word for word"] * n, "vec": pa.array([None] * n, pa.binary())})
+    b = H.Batch(t)
+    assert b.among(H.Settings(3, 0.9, 10**6)) < n and b.rejected.sum() == n - 1
+    again = H.Batch(t)
+    assert again.against([b.run()], H.Settings(3, 0.9, 10**6)) < n and again.closed.all() and again.rejected.sum() == n - 1
+
+
+def test_a_batch_reads_its_buckets_only_and_forests_open_again(spark):
+    texts = [f"message {i} about the {w} of the annexe" for i, w in enumerate(["roof", "door", "lamp", "desk"] * 60)]
+    df = spark.createDataFrame([(f"c{i:03d}", f"u{i % 40}", x, None) for i, x in enumerate(texts)], "chunk_id string, user_id string, text string, vector array<float>")
     path = new_table_path(spark, "forest")
-    H.forest_run(H.sign(df), path)
-    index = spark.read.parquet(path)
-    assert {r[0] for r in H.reject(df, index.filter("batch_no > 0"), index).collect()} == want and len(want) > 50
-    # as the batches arrive: accepted rows only are history for the next one
-    gone = set()
-    path = new_table_path(spark, "forest")
-    H.forest_run(H.sign(df.filter("batch_no = 0")), path)
-    for b in (1, 2, 3):
-        signed = H.sign(df.filter(F.col("batch_no") == b))
-        new = spark.createDataFrame(signed.collect(), signed.schema)
-        known = df.filter((F.col("batch_no") <= b) & ~F.col("chunk_id").isin(list(gone) or [""]))
-        got = {r[0] for r in H.ingest(known, new, path).collect()}
-        gone |= got
-        kept = spark.read.parquet(path).filter(~F.col("chunk_id").isin(list(gone) or [""])).collect()
-        path = new_table_path(spark, "forest")
-        H.forest_run(spark.createDataFrame(kept, signed.schema), path)
-    assert gone == want
+    forest = H.Forest(spark, path, buckets=64)
+    first = H.materialize(H.route(df, 64))
+    assert forest.ingest(first, accept_all=True).count() == 0
+    forest = H.Forest(spark, path, buckets=64)
+    one = H.materialize(H.route(df.filter("chunk_id = 'c005'").withColumn("chunk_id", F.lit("new")).unionByName(df.filter("chunk_id = 'c005'")), 64))
+    plan = forest.plan(one, [one.first()["bucket"]])
+    shown = plan._jdf.queryExecution().toString()
+    assert "SelectedBucketsCount: 1 out of 16" in shown and shown.count("Exchange hashpartitioning") - shown.count("Initial") <= 3
+    assert {r[0] for r in forest.ingest(one).collect()} == {"new"}
+    before = forest.runs()
+    forest.merge(everything=True)
+    assert len(before) == 2 and len(forest.runs()) == 1
+    assert forest.ingest(one).count() == 1  # "new" was rejected then and is rejected again, c005 is known
+    assert {r[0] for r in forest.rejected().collect()} == {"new"}
 
 
 def test_vectors_decide_and_empty_input(spark):
     text = "The ledger for Zuhon Quay is late by 12 days again"
     a, b = [1.0] * 64, [1.0] * 32 + [-1.0] * 32
-    rows = [{"chunk_id": c, "user_id": "u", "batch_no": n, "text": text, "vector": v} for c, n, v in (("a", 0, a), ("b", 1, b), ("c", 1, a), ("d", 1, None))]
-    df = frame(spark, rows)
-    path = new_table_path(spark, "forest")
-    H.forest_run(H.sign(df), path)
-    index = spark.read.parquet(path)
-    assert {r[0] for r in H.reject(df, index.filter("batch_no > 0"), index).collect()} == {"c", "d"}
-    path = new_table_path(spark, "forest")
-    H.forest_run(H.sign(df.limit(0)), path)
-    index = spark.read.schema("chunk_id string, batch_no int, root bigint, paths array<bigint>").parquet(path)
-    assert H.reject(df.limit(0), index, index).count() == 0
+    rows = [{"chunk_id": c, "user_id": "u", "batch_no": n, "text": text, "vector": v} for c, n, v in (("a", 0, a), ("b", 1, b), ("c", 1, a), ("d", None, None))]
+    assert {r[0] for r in H.by_batches(frame(spark, rows), new_table_path(spark, "t")).collect()} == {"c", "d"}
+    assert H.by_batches(frame(spark, rows).limit(0), new_table_path(spark, "t")).count() == 0
