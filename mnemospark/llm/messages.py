@@ -27,24 +27,26 @@ NEGATIONS = "not no never none nobody nothing cannot nicht kein keine nie nieman
 MONTH_NO = {name: i for names in MONTHS for i, name in enumerate(names)}
 #: Words that are never a slip of one another, nor a small addition.
 EXACT = frozenset([*MONTHS[0], *(m for names in MONTHS[2:] for m in names), *DAYS, *NEGATIONS])
-_M = "|".join(sorted(MONTH_NO, key=len, reverse=True))
-_DASH = r"[-/.‐-―]"
-_DATE = re.compile(rf"\b(?:(\d{{4}}){_DASH}(\d{{1,2}}){_DASH}(\d{{1,2}})\b|(\d{{1,2}})(?:st|nd|rd|th|\.)? (?:of |de )?({_M})\b|({_M})\.? (\d{{1,2}})(?:st|nd|rd|th)?\b(?!\s?[:.]?\d))")
-_TIME = re.compile(r"\b(\d{1,2})(?::(\d\d))?(?::\d\d)?\s?([ap])\.?m\b\.?")
-_THOUSANDS = re.compile(r"(?<![\d.,])\d{1,3}(?:,\d{3})+(?![\d,])")
+_FIGURE = re.compile(r"\d+(?:[-.,:/‐-―]\d+)*(?:\s?[ap]\.?m\b\.?)?")
+_ISO = re.compile(r"(\d{4})[-/.‐-―](\d\d?)[-/.‐-―](\d\d?)")
+_TIME = re.compile(r"(\d\d?)(?::(\d\d))?(?::\d\d)?\s?([ap])\.?m\.?")
+_THOUSANDS = re.compile(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.:]\d+)*")
-_DIGIT = re.compile(r"\d")
+_ASCII_TOKEN = re.compile(r"[a-z]+|[0-9]+(?:[.:][0-9]+)*")
+#: What may stand between the day and the month.
+_BETWEEN = frozenset("st nd rd th of de the".split())
 
 
-def _date(m: re.Match) -> str:
-    year, month, day, day2, name2, name3, day3 = m.groups()
-    if year:
-        return f" {int(day)} {MONTHS[0][int(month) - 1]} {year} " if 1 <= int(month) <= 12 else m[0]
-    return f" {int(day2 or day3)} {MONTHS[0][MONTH_NO[name2 or name3]]} "
-
-
-def _time(m: re.Match) -> str:
-    return f" {int(m[1]) % 12 + 12 * (m[3] == 'p'):02d}:{m[2] or '00'} "
+def _figure(m: re.Match) -> str:
+    """One spelling of a date, a time of day or a number with commas; other figures as they are."""
+    t = m[0]
+    if t.isdigit():
+        return t
+    if (d := _ISO.fullmatch(t)) and 1 <= int(d[2]) <= 12:
+        return f" {int(d[3])} {MONTHS[0][int(d[2]) - 1]} {d[1]} "
+    if h := _TIME.fullmatch(t):
+        return f" {int(h[1]) % 12 + 12 * (h[3] == 'p'):02d}:{h[2] or '00'} "
+    return t.replace(",", "") if _THOUSANDS.fullmatch(t) else t
 
 
 def _number(t: str) -> str:
@@ -55,13 +57,35 @@ def _number(t: str) -> str:
     return f"{whole}.{part}" if part else whole
 
 
+def _spell_dates(ws: list[str]) -> list[str]:
+    """Day and month with one spelling each: the month in English, the day without a zero before it or an ending behind it."""
+    out = list(ws)
+    drop = set()
+    for i, w in enumerate(ws):
+        no = MONTH_NO.get(w)
+        if no is None:
+            continue
+        before, after = i - 1, i + 1
+        while before >= 0 and ws[before] in _BETWEEN:
+            before -= 1
+        for day in (before, after):
+            if 0 <= day < len(ws) and ws[day].isdigit() and len(ws[day]) <= 2:
+                out[i], out[day] = MONTHS[0][no], str(int(ws[day]))
+                drop.update(range(day + 1, i) if day < i else ())
+                if day + 1 < len(ws) and ws[day + 1] in ("st", "nd", "rd", "th"):
+                    drop.add(day + 1)
+                break
+    return [w for i, w in enumerate(out) if i not in drop] if drop else out
+
+
 def words(text: str) -> list[str]:
     """Words and numbers without case, form and punctuation. Dates come out as day, month and year, times of day as hours and minutes, and numbers without commas between thousands and zeros at the end."""
-    s = unicodedata.normalize("NFKC", text).casefold()
-    if not _DIGIT.search(s):
-        return _TOKEN.findall(s)
-    s = _THOUSANDS.sub(lambda m: m[0].replace(",", ""), _TIME.sub(_time, _DATE.sub(_date, s)))
-    return [_number(t) if t[0].isdigit() else t for t in _TOKEN.findall(s)]
+    plain = text.isascii()
+    s = _FIGURE.sub(_figure, (text if plain else unicodedata.normalize("NFKC", text)).casefold())
+    ws = (_ASCII_TOKEN if plain else _TOKEN).findall(s)
+    if "." in s:
+        ws = [_number(t) if "." in t else t for t in ws]
+    return ws if MONTH_NO.keys().isdisjoint(ws) else _spell_dates(ws)
 
 
 def numbers(ws: list[str]) -> str:
@@ -103,14 +127,20 @@ def _written(w: str, x: str) -> bool:
 
 
 def _pair_off(left: list[str], right: list[str]) -> tuple[list[str], list[str]]:
-    """What is left of both after slips, and words broken in two or run together, are taken as equal."""
-    rest, right = [], list(right)
+    """What is left of both after slips, and words broken in two or run together, are taken as equal. A slip keeps the first or the last letter."""
+    rest: list[str] = []
+    by: dict[str, list[int]] = {}
+    for i, x in enumerate(right):
+        by.setdefault("^" + x[0], []).append(i)
+        by.setdefault("$" + x[-1], []).append(i)
+    used: set[int] = set()
     for w in left:
-        hit = next((i for i, x in enumerate(right) if _written(w, x)), None)
+        hit = next((i for i in [*by.get("^" + w[0], ()), *by.get("$" + w[-1], ())] if i not in used and _written(w, right[i])), None)
         if hit is None:
             rest.append(w)
         else:
-            right.pop(hit)
+            used.add(hit)
+    right = [x for i, x in enumerate(right) if i not in used]
     for one, two in ((rest, right), (right, rest)):
         for w in [w for w in one if len(w) > 3]:
             parts = next(((x, y) for x in two for y in two if x is not y and x + y == w), None)
@@ -166,7 +196,8 @@ def same_message(a: str, b: str, wa: list[str] | None = None, wb: list[str] | No
     if any(w[0].isdigit() for w in left + right) or 3 * (len(left) + len(right)) > 2 * shorter + 8:
         return False
     rest, right = _pair_off(left, right)
-    if any(w in EXACT for w in rest + right):
+    extra = rest + right
+    if len(extra) > max(4, shorter // 5) or any(w in EXACT for w in extra):
         return False
     if rest and right:
         inside = [[r for r in _runs(ws, x) if not _set_off(*r, t)] for ws, x, t in ((wa, rest, a), (wb, right, b))]
@@ -174,5 +205,4 @@ def same_message(a: str, b: str, wa: list[str] | None = None, wb: list[str] | No
             for _, q, m in inside[1]:
                 if (p == q or close(p, q)) and (n == m or close(n, m)):
                     return False
-    extra = rest + right
-    return len(extra) <= max(4, shorter // 5) and not (len(extra) > 1 and (_names(rest, a) or _names(right, b)))
+    return not (len(extra) > 1 and (_names(rest, a) or _names(right, b)))
