@@ -32,45 +32,55 @@ class Booster:
 
 
 def _grow(x: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree, level by level: the histograms of all nodes of a level are made together."""
     inner = 2**depth - 1
-    feature, value, leaf = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(inner + 1)
+    feature, value = np.zeros(inner, np.int64), np.full(inner, np.inf)
     at = np.zeros(len(x), np.int64)
-    for node in range(inner):
-        m = np.flatnonzero(at == node)
-        best = 1e-6
-        if len(m) > 1:
-            gt, ht = g[m].sum(), h[m].sum()
-            for f, c in enumerate(cuts):
-                if not len(c):
-                    continue
-                gl = np.bincount(binned[m, f], g[m], len(c) + 1).cumsum()[:-1]
-                hl = np.bincount(binned[m, f], h[m], len(c) + 1).cumsum()[:-1]
-                gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
-                k = int(gain.argmax())
-                if gain[k] > best:
-                    best, feature[node], value[node] = gain[k], f, c[k]
-        at[m] = 2 * node + 1 + (x[m, feature[node]] > value[node])
-    for k in range(inner + 1):
-        m = at == inner + k
-        leaf[k] = rate * g[m].sum() / (h[m].sum() + 1) if m.any() else 0.0
-    return feature, value, leaf
-
-
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 24, seed: int = 0) -> Booster:
-    """Logistic boosting on four fifths; the last fifth calibrates the scores (a logistic of the score) and the threshold (the best F1)."""
+    rows = np.arange(len(x))
+    for level in range(depth):
+        first, nodes = 2**level - 1, 2**level
+        here = at - first
+        best = np.full(nodes, 1e-6)
+        gt, ht = np.bincount(here, g, nodes)[:, None], np.bincount(here, h, nodes)[:, None]
+        for f, c in enumerate(cuts):
+            if not len(c):
+                continue
+            width = len(c) + 1
+            key = here * width + binned[:, f]
+            gl = np.bincount(key, g, nodes * width).reshape(nodes, width).cumsum(axis=1)[:, :-1]
+            hl = np.bincount(key, h, nodes * width).reshape(nodes, width).cumsum(axis=1)[:, :-1]
+            gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+            k = gain.argmax(axis=1)
+            top = gain[np.arange(nodes), k]
+            better = np.flatnonzero(top > best)
+            best[better], feature[first + better], value[first + better] = top[better], f, c[k[better]]
+        at = 2 * at + 1 + (x[rows, feature[at]] > value[at])
+    gs, hs = np.bincount(at - inner, g, inner + 1), np.bincount(at - inner, h, inner + 1)
+    return feature, value, rate * gs / (hs + 1)
+
+
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None, rounds: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 24, seed: int = 0) -> Booster:
+    """Logistic boosting on the rows that aren't held out; those calibrate the scores (a logistic of the score) and the threshold (the best F1).
+
+    Without `held` a fifth is held out by chance. Where all labels are equal the score is
+    the smoothed share of the label; any other number of rows is fitted.
+    """
     rng = np.random.default_rng(seed)
-    held = rng.random(len(y)) < 0.2
-    if len(y) < 50 or y.min() == y.max() or y[~held].min() == y[~held].max():
-        p = (y.sum() + 1) / (len(y) + 2)
-        return Booster(float(np.log(p / (1 - p))), [])
+    held = rng.random(len(y)) < 0.2 if held is None else held
+    if not len(y):
+        return Booster(-30.0, [])
+    if (~held).sum() < 2 or y[~held].min() == y[~held].max():
+        held = np.zeros(len(y), bool)
     xt, yt = x[~held], y[~held].astype(float)
+    p = (yt.sum() + 0.5) / (len(yt) + 1)
+    model = Booster(float(np.log(p / (1 - p))), [])
+    if yt.min() == yt.max():
+        return model
     cuts = []
     for f in range(x.shape[1]):
         v = np.unique(xt[:, f])
         cuts.append((v[:-1] + v[1:]) / 2 if len(v) <= bins else np.unique(np.quantile(xt[:, f], np.linspace(0, 1, bins + 1)[1:-1])))
     binned = np.stack([np.searchsorted(c, xt[:, f]) for f, c in enumerate(cuts)], axis=1)
-    p = yt.mean()
-    model = Booster(float(np.log(p / (1 - p))), [])
     s = np.full(len(yt), model.base)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-s))
@@ -91,3 +101,28 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: fl
         top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
         model.threshold = float(grid[top[len(top) // 2]])
     return model
+
+
+@dataclass
+class Forest:
+    """One booster for each part of the rows, fitted on the others; their mean probability."""
+
+    parts: list[Booster]
+    threshold: float
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([b.probability(x) for b in self.parts], axis=0)
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, part: np.ndarray, seed: int = 0) -> Forest:
+        """The threshold is that of the best F1 over all rows, each scored by the booster that hasn't seen it."""
+        parts, p = [], np.zeros(len(y))
+        for k in np.unique(part):
+            parts.append(fit(x, y, held=part == k, seed=seed))
+            p[part == k] = parts[-1].probability(x[part == k])
+        if not len(y):
+            return cls([fit(x, y)], 0.5)
+        grid = np.linspace(0.05, 0.95, 37)
+        f1 = np.array([2 * ((p >= c) & (y > 0)).sum() / max(1, (p >= c).sum() + (y > 0).sum()) for c in grid])
+        top = np.flatnonzero(f1 >= f1.max() - 0.001)
+        return cls(parts, float(grid[top[len(top) // 2]]))
