@@ -26,7 +26,7 @@ from mnemospark.llm.messages import numbers, same_message, words
 from mnemospark.llm.vectors import DIMS, usable_rows
 from mnemospark.session import delete_path, materialize, path_exists
 
-TREES = 32
+TREES = 24
 LEVELS = 6
 LEVEL_BITS = 7
 PATH_BITS = LEVELS * LEVEL_BITS
@@ -374,7 +374,7 @@ class Forest:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, files: int | None = None, recall: float = 0.99, similarity: float = 0.6, least_cosine: float = 0.9, hot_rows: int = HOT_ROWS, most_runs: int = MOST_RUNS):
         """Open the forest at `path` or make an empty one; `buckets` and `files` must be those it was made with."""
-        self.spark, self.path, self.buckets, self.files, self.most_runs = spark, path.rstrip("/"), buckets, files or max(1, buckets // 4), most_runs
+        self.spark, self.path, self.buckets, self.files, self.most_runs = spark, path.rstrip("/"), buckets, files or max(1, buckets // 8), most_runs
         self.settings = Settings(depth_for(recall, similarity), least_cosine, hot_rows)
         self.table = f"forest_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.table} ({PACKED}, run string) USING parquet PARTITIONED BY (run) CLUSTERED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.path}/local'")
@@ -486,7 +486,7 @@ class Forest:
         return out
 
 
-def buckets_for(rows: int, bucket_rows: int = 4_096) -> int:
+def buckets_for(rows: int, bucket_rows: int = 2_048) -> int:
     return max(16, -(-rows // bucket_rows))
 
 
@@ -504,4 +504,5 @@ def by_batches(chunks: DataFrame, path: str, **options) -> DataFrame:
     for b in sorted(r[0] for r in arrivals.select("batch").distinct().collect()):
         forest.take(arrivals.filter(F.col("batch") == b), accept_all=b == 0)
         forest.merge()
+        delete_path(spark, f"{path}/arrivals/batch={b}")  # it is in the forest now
     return forest.rejected()

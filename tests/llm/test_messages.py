@@ -118,7 +118,7 @@ def test_a_batch_reads_its_buckets_only_and_forests_open_again(spark):
     one = H.materialize(H.route(df.filter("chunk_id = 'c005'").withColumn("chunk_id", F.lit("new")).unionByName(df.filter("chunk_id = 'c005'")), 64))
     plan = forest.plan(one, [one.first()["bucket"]])
     shown = plan._jdf.queryExecution().toString()
-    assert "SelectedBucketsCount: 1 out of 16" in shown and shown.count("Exchange hashpartitioning") - shown.count("Initial") <= 3
+    assert "SelectedBucketsCount: 1 out of 8" in shown and shown.count("Exchange hashpartitioning") - shown.count("Initial") <= 3
     assert {r[0] for r in forest.ingest(one).collect()} == {"new"}
     before = forest.runs()
     forest.merge(everything=True)
