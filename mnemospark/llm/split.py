@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,60 +22,65 @@ LEVELS = [
 PIECE = "start_at int, overlap int, text string"
 
 
-def _characters(text: str, lo: int, hi: int, most: int) -> Iterator[int]:
-    """Cuts in a run without any boundary, none before a combining mark or joiner unless the whole piece is made of them."""
-    while hi - lo > most:
-        cut = lo + most
-        while cut > lo + max(1, most // 2) and (unicodedata.combining(text[cut]) or text[cut] in "‍️︎" or text[cut - 1] == "‍"):
-            cut -= 1
-        yield cut
-        lo = cut
-
-
-def atoms(text: str, most: int) -> list[tuple[int, int]]:
-    """Where atoms of at most `most` characters end, each with the level of its boundary; they cover the text without gaps."""
-    ends: list[tuple[int, int]] = []
-    todo = [(0, len(text), 0)]
-    while todo:
-        lo, hi, level = todo.pop()
-        if hi - lo <= most:
-            ends.append((hi, level))
-            continue
-        if level == len(LEVELS):
-            cuts = [*_characters(text, lo, hi, most), hi]
-            ends.extend((c, level) for c in cuts)
-            continue
-        cuts = [lo, *(m.end() for m in LEVELS[level].finditer(text, lo, hi) if lo < m.end() < hi), hi]
-        todo.extend((a, b, level + 1) for a, b in reversed(list(zip(cuts, cuts[1:]))))
-    return ends
+def _joined(text: str, at: int) -> bool:
+    """Whether a character belongs to the one before it: a combining mark or part of a joined sign."""
+    return bool(unicodedata.combining(text[at])) or text[at] in "‍️︎" or text[at - 1] == "‍"
+
+
+def boundaries(text: str) -> list[list[int]]:
+    """Per level the places, in order, where a unit of it or of a coarser level ends; the end of the text is one of each."""
+    out: list[list[int]] = []
+    for pattern in LEVELS:
+        ends = {m.end() for m in pattern.finditer(text)} | (set(out[-1]) if out else {len(text)})
+        out.append(sorted(e for e in ends if 0 < e <= len(text)))
+    return out
+
+
+def _cut(text: str, ends: list[list[int]], fresh: int, limit: int, overlap: int) -> int:
+    """Where the piece ends whose own part begins at `fresh`.
+
+    The coarsest level that has a boundary within the limit decides: as many whole units
+    of it as leave room for the overlap, or one that fits with a shorter overlap. Where
+    no level has one, the cut falls between characters, if possible not before a
+    combining mark.
+    """
+    room, most = fresh + limit - overlap, fresh + limit
+    for level in ends:
+        i = bisect_right(level, room) - 1
+        if i >= 0 and level[i] > fresh:
+            return level[i]
+        if i + 1 < len(level) and level[i + 1] <= most:
+            return level[i + 1]
+    cut = room
+    while cut > fresh + max(1, (limit - overlap) // 2) and _joined(text, cut):
+        cut -= 1
+    return cut
 
 
 def pieces(text: str, limit: int = 1000, overlap: int = 100) -> list[tuple[int, int, str]]:
-    """(start, overlap, piece) for a text over the limit: pack atoms greedily, then step back by up to `overlap` characters.
+    """(start, overlap, piece) for a text over the limit: whole units of the coarsest level that fits are packed greedily, and each piece begins with up to `overlap` characters of the one before.
 
-    The overlap begins behind white space where there is some in its reach. Joining the
-    pieces without their overlaps gives the text again.
+    The overlap begins behind white space where there is some in its reach, and is
+    shorter where a unit needs the room. Joining the pieces without their overlaps gives
+    the text again.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     if len(text) <= limit:
         return [(0, 0, text)]
-    ends, out, start, fresh = atoms(text, limit - overlap), [], 0, 0
-    k, n = 0, len(text)
-    while fresh < n:
-        stop = fresh
-        while k < len(ends) and ends[k][0] - start <= limit:
-            stop = ends[k][0]
-            k += 1
+    ends, out, start, fresh = boundaries(text), [], 0, 0
+    while fresh < len(text):
+        stop = _cut(text, ends, fresh, limit, overlap if fresh else 0)
+        if fresh:
+            start = max(out[-1][0] + 1, fresh - min(overlap, limit - (stop - fresh)))
+            if start < fresh and not text[start - 1].isspace():
+                space = re.compile(r"\s+").search(text, start, fresh)
+                if space and space.end() < fresh:
+                    start = space.end()
+            while start < fresh and _joined(text, start):
+                start += 1
         out.append((start, fresh - start, text[start:stop]))
         fresh = stop
-        start = max(stop - overlap, start + 1)
-        if start > 0 and not text[start - 1].isspace():
-            space = re.search(r"\s+", text[start:stop])
-            if space and space.end() < stop - start:
-                start += space.end()
-        while start < stop and (unicodedata.combining(text[start]) or text[start] in "‍️︎"):
-            start += 1
     return out
 
 

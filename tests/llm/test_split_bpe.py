@@ -28,6 +28,46 @@ def test_cuts_at_natural_boundaries():
         pieces("abc", 2, 2)
 
 
+def prose(n, seed=0):
+    rng, out = random.Random(seed), ""
+    while len(out) < n:
+        out += " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(8)).capitalize() + ". "
+    return out[: n - 1] + "."
+
+
+def test_the_coarsest_boundary_that_fits_is_taken():
+    # two paragraphs of 939 characters each: a piece each, the second with a shorter overlap
+    a, b = prose(937, 1) + "\n\n", prose(939, 2)
+    got = pieces(a + b)
+    assert [p[o:] for _, o, p in got] == [a, b] and 0 < got[1][1] <= 61
+    # units of up to the limit stay whole
+    c = prose(1000, 3)
+    assert [p[o:] for _, o, p in pieces(a + c + "\n\n" + b)][:2] == [a, c + "\n\n"] or pieces(a + c[:-2] + "\n\n" + b)[1][2].endswith(c[:-2] + "\n\n")
+    # sections are cut at their headings
+    one, two, three = (f"# Part\n{prose(n, n)}\n" for n in (390, 980, 391))
+    assert [p[o:] for _, o, p in pieces(one + two + three)] == [one, two, three]
+    # a section over the limit goes by paragraphs, and only its own inside is cut there
+    paragraphs = [prose(420, i) + "\n\n" for i in range(5)]
+    text = one + "# Long\n\n" + "".join(paragraphs) + "\n# Last\n" + prose(300, 9)
+    cuts = {s + o for s, o, _ in pieces(text)[1:]}
+    assert cuts <= set(split.boundaries(text)[1]) and len(one) in cuts
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "End. ", "line\n", "para\n\n", "sec\n\n\n", "x" * 30]), max_size=60))
+def test_no_finer_cut_where_a_coarser_one_is_in_reach(parts):
+    text = "".join(parts)
+    levels = split.boundaries(text)
+    got = pieces(text, 80, 10)
+    for (s, o, p), (t, q, _) in zip(got, got[1:]):
+        fresh, cut = s + o, t + q
+        for level in levels:
+            inside = [e for e in level if fresh < e <= fresh + 80 - (10 if fresh else 0)]
+            if inside:
+                assert cut in level
+                break
+
+
 def test_split_oversized_rows(spark):
     rows = [("a", "x" * 2500, 1), ("b", None, 2), ("c", "", 3), ("d", "short", 4), ("a", "x" * 2500, 5), (None, "y " * 600, 6), ("e", "z" * 1000, 7)]
     df = spark.createDataFrame(rows, "chunk_id string, text string, piece_no int")
