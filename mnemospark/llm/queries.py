@@ -76,6 +76,10 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_turns(spark, sf).select("conversation_id", "turn_no", "chunk_id")
 
 
+def p7_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.rebuild_paths(table(spark, sf, "chunks"), table(spark, sf, "speaker_aliases"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf, "documents"))
 
@@ -120,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_turns": p7_turns,
+    "p7_paths": p7_paths,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,

@@ -49,3 +49,32 @@ def test_threads_by_pointer_jumping(spark):
         assert (got["T", c]["root"], got["T", c]["depth"]) == (x, d)
     assert all(got["Z", c]["cycle"] for c in ("z1", "z2", "z3", "z4", "s"))
     assert got["Z", "o2"]["orphan"] and got["Z", "o1"]["orphan"] and not got["T", "t5"]["orphan"]
+
+
+def test_paths_from_roots_to_leaves(spark):
+    rows = [
+        row("a1", "A", "user", "q", t(1)), row("a2", "A", "ai", "r", t(2), "a1"), row("a3", "A", "user", "q2", t(3), "a2"), row("a4", "A", "ai", "r2", t(4), "a3"), row("a5", "A", "ai", "other", t(5), "a2"), row("a6", "A", "ai", "  ", t(6), "a5"),
+        row("b1", "B", "user", "q", t(1)), row("b2", "B", "ai", "r", t(2), "gone"), row("c1", "C", "user", "q", t(1), "c2"), row("c2", "C", "ai", "r", t(2), "c1"), row("c3", "C", "ai", "alone", t(3)),
+    ]
+    got = {}
+    for r in C.rebuild_paths(spark.createDataFrame(rows, CH), aliases(spark)).orderBy("conversation_id", "leaf", "turn_no").collect():
+        got.setdefault((r["conversation_id"], r["leaf"]), []).append(r["chunk_id"])
+    assert got == {("A", "a4"): ["a1", "a2", "a3", "a4"], ("A", "a6"): ["a1", "a2", "a5"], ("C", "c3"): ["c3"]}
+
+
+def test_paths_of_long_chains_and_trees(spark):
+    rng = random.Random(4)
+    rows = [("L", f"l{i:03d}", f"l{i - 1:03d}" if i else None) for i in range(150)] + [("T", f"t{i}", f"t{rng.randrange(i)}" if i else None) for i in range(40)]
+    msgs = spark.createDataFrame(rows, "conversation_id string, chunk_id string, parent string")
+    threads, jumps = C.jump_tables(msgs)
+    got = {(r["conversation_id"], r["leaf"], r["step"]): r["chunk_id"] for r in C.thread_paths(msgs, threads, jumps).collect()}
+    parent = {(c, i): p for c, i, p in rows}
+    leaves = set(parent) - {(c, p) for c, _, p in rows}
+    want = {}
+    for c, leaf in leaves:
+        chain, x = [], leaf
+        while x:
+            chain.insert(0, x)
+            x = parent[c, x]
+        want |= {(c, leaf, k): x for k, x in enumerate(chain)}
+    assert got == want
