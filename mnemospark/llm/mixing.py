@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import materialize
 
-BLOCKS = 256
+BLOCK_DOCS = 4_096
 STEPS = 200
 
 
@@ -80,26 +80,29 @@ def budgets(weights: dict[str, float], sizes: dict[str, int], repeats: dict[str,
     return out
 
 
-def draw(docs: DataFrame, plan: list[tuple[str, str, int]], seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
+def draw(docs: DataFrame, plan: list[tuple[str, str, int]], seed: int = 0, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(mix_name, source, doc_id, n_tokens, repeats): the documents of a mix and how often each is used.
 
     `docs` has source, doc_id, n_tokens; `plan` has (mix_name, source, budget). A source
     is used whole as often as its budget holds it; the rest is taken in a seeded order:
-    documents fall into blocks by a hash, whole blocks are taken while they fit, and
-    only in the block where the budget ends are documents taken one by one, the last
-    being the one after which the budget is best met. Block sizes are pre-aggregated,
-    so no source makes one large sort, and the same seed gives the same mix.
+    documents fall by a hash into blocks of about `block_docs` documents, whole blocks
+    are taken while they fit, and only in the block where the budget ends are documents
+    taken one by one, the last being the one after which the budget is best met. Block
+    sizes are pre-aggregated, so no source makes one large sort, and the same seed gives
+    the same mix.
     """
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([p for p in plan if p[2] > 0], "mix_name string, source string, budget bigint"))
-    sized = docs.filter(F.col("n_tokens") > 0).join(wanted, "source")
-    sized = sized.withColumn("_h", F.xxhash64("mix_name", "doc_id", F.lit(seed))).withColumn("_block", F.pmod("_h", F.lit(blocks)))
+    some = docs.filter(F.col("n_tokens") > 0)
+    count = {r["source"]: r["n"] for r in some.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per source
+    wanted = spark.createDataFrame([(*p, max(1, -(-count.get(p[1], 1) // block_docs))) for p in plan if p[2] > 0], "mix_name string, source string, budget bigint, _blocks bigint")
+    sized = some.join(wanted, "source")
+    sized = sized.withColumn("_h", F.xxhash64("mix_name", "doc_id", F.lit(seed))).withColumn("_block", F.pmod("_h", F.col("_blocks"))).drop("_blocks")
     per = sized.groupBy("mix_name", "source", "budget", "_block").agg(F.sum("n_tokens").alias("_size"))
     by = Window.partitionBy("mix_name", "source")
     per = per.withColumn("_all", F.sum("_size").over(by)).withColumn("_before", F.coalesce(F.sum("_size").over(by.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     per = per.withColumn("_whole", F.floor(F.col("budget") / F.col("_all"))).withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("_all"))
     per = per.select("mix_name", "source", "_block", "_whole", (F.col("_rest") - F.col("_before")).alias("_left"), "_size")
-    rows = sized.drop("budget").join(F.broadcast(per), ["mix_name", "source", "_block"])  # at most plan x blocks rows
+    rows = sized.drop("budget").join(per, ["mix_name", "source", "_block"])
     once = F.lit(1).cast("bigint")
     taken = rows.filter(F.col("_left") >= F.col("_size")).withColumn("_extra", once)
     none = rows.filter((F.col("_left") <= 0)).withColumn("_extra", once * 0)
@@ -111,6 +114,52 @@ def draw(docs: DataFrame, plan: list[tuple[str, str, int]], seed: int = 0, block
     return out.filter("repeats > 0").select("mix_name", "source", "doc_id", "n_tokens", "repeats")
 
 
+def towards_targets(targets: dict[str, float], sizes: dict[str, int], repeats: dict[str, int], total: float) -> tuple[float, dict[str, float]]:
+    """(exponent, weights): targets tempered towards the natural shares, target^(1 - a) share^a, with the smallest a at which no source is used more often than it may be.
+
+    At a = 0 the weights are the targets; at a = 1 every source is used equally often.
+    Bisection: the most repeated source's use falls as the exponent grows. Where even
+    equal use is too much, a is 1.
+    """
+    live = {s: w for s, w in targets.items() if w and w > 0 and sizes.get(s, 0) > 0 and (repeats.get(s) or 0) > 0}
+    whole = sum(sizes[s] for s in live)
+
+    def weights(a: float) -> dict[str, float]:
+        raised = {s: math.exp((1 - a) * math.log(w) + a * math.log(sizes[s] / whole)) for s, w in live.items()}
+        z = sum(raised.values())
+        return {s: w / z for s, w in raised.items()}
+
+    def fits(a: float) -> bool:
+        return all(w * total <= repeats[s] * sizes[s] * (1 + 1e-12) for s, w in weights(a).items())
+
+    if not live or fits(0.0):
+        return 0.0, weights(0.0) if live else {}
+    lo, hi = 0.0, 1.0
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if fits(mid) else (mid, hi)
+    return hi, weights(hi)
+
+
+def distances(docs: DataFrame, targets: DataFrame) -> list[tuple[str, float, float, float]]:
+    """(mix_name, exponent, tempered, budgeted): half the sum of the differences between targets and the shares of tempered weights, and between targets and those of `budgets`, in plan."""
+    sizes, corpus = source_sizes(docs)
+    out = []
+    rows = targets.collect()  # a small table of settings
+    for mix in sorted({t["mix_name"] for t in rows if t["mix_name"] is not None}):
+        own = [t for t in rows if t["mix_name"] == mix and t["source"] is not None]
+        want = {t["source"]: t["target_weight"] or 0.0 for t in own}
+        whole = sum(want.values()) or 1.0
+        most = {t["source"]: t["max_repeats"] for t in own}
+        total = max((t["total_ratio"] or 0.0) for t in own) * corpus
+        a, w = towards_targets(want, sizes, most, total)
+        got = budgets(want, sizes, most, total)
+        n = sum(got.values()) or 1
+        far = lambda share: sum(abs(share.get(s, 0.0) - v / whole) for s, v in want.items()) / 2
+        out.append((mix, a, far(w), far({s: b / n for s, b in got.items()})))
+    return out
+
+
 def source_sizes(counted: DataFrame) -> tuple[dict[str, int], int]:
     """Tokens per source, and of the whole corpus with the documents that have no source. One row per source reaches the driver."""
     rows = counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()

@@ -98,6 +98,11 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mix(_sized(spark, sf), targets), targets)
 
 
+def p9_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """How near to its targets each mix comes by tempering and by the budgets that p9_mix uses: a row per mix."""
+    return spark.createDataFrame(mixing.distances(_sized(spark, sf), table(spark, sf, "mix_targets")), "mix_name string, exponent double, tempered double, budgeted double")
+
+
 def p9_tempered(spark: SparkSession, sf: str) -> DataFrame:
     """The smallest exponent at which no source is used more than four times in a mix of the corpus's size."""
     return mixing.temperature_mix(_sized(spark, sf), "tempered", max_repeats=4)
@@ -129,6 +134,7 @@ QUERIES: dict[str, Query] = {
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p9_tempered": p9_tempered,
+    "p9_distances": p9_distances,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }

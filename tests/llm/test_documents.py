@@ -24,18 +24,31 @@ def test_tempering_meets_entropy_and_repetition():
     assert M.tempered({}, entropy=1.0) == (1.0, {})
 
 
+def test_tempering_towards_targets_is_further_than_budgets():
+    """Where a repetition limit binds, tempering moves all sources, budgets only the one that is capped."""
+    want, size = {"web": 0.4, "code": 0.3, "books": 0.2, "wiki": 0.1}, {"web": 10_000_000, "code": 2_000_000, "books": 500_000, "wiki": 900_000}
+    most, total = dict.fromkeys(want, 3), 8_000_000
+    a, w = M.towards_targets(want, size, most, total)
+    got = M.budgets(want, size, most, total)
+    assert 0 < a < 1 and max(w[s] * total / size[s] for s in want) == pytest.approx(3)
+    far = lambda x: sum(abs(x[s] / sum(x.values()) - want[s]) for s in want) / 2
+    assert far(got) < far(w) and all(got[s] <= 3 * size[s] for s in want)
+    assert M.towards_targets(want, size, dict.fromkeys(want, 100), total)[0] == 0.0
+    assert M.towards_targets({}, {}, {}, 1.0) == (0.0, {})
+
+
 TG = "mix_name string, source string, target_weight double, max_repeats int, total_ratio double"
 
 
-@pytest.mark.parametrize("blocks", [1, 16])
-def test_draw_is_whole_and_near_the_budget(spark, blocks):
+@pytest.mark.parametrize("block_docs", [10**6, 100])
+def test_draw_is_whole_and_near_the_budget(spark, block_docs):
     docs = spark.createDataFrame([(i, "big" if i % 3 else "small", 10 + i % 7, "x") for i in range(3000)] + [(9001, None, 50, "x"), (9002, "big", 0, "x")], "doc_id bigint, source string, n_tokens bigint, repeats string").select("doc_id", "source", "n_tokens")
     size = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    out = M.draw(docs, [("m", "big", size["big"] // 3), ("m", "small", int(2.5 * size["small"])), ("m", "none", 100)], blocks=blocks)
+    out = M.draw(docs, [("m", "big", size["big"] // 3), ("m", "small", int(2.5 * size["small"])), ("m", "none", 100)], block_docs=block_docs)
     got = {r["source"]: (r["t"], r["lo"], r["hi"]) for r in out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.min("repeats").alias("lo"), F.max("repeats").alias("hi")).collect()}
     assert abs(got["big"][0] - size["big"] // 3) <= 20 and got["big"][1:] == (1, 1)
     assert abs(got["small"][0] - int(2.5 * size["small"])) <= 20 and got["small"][1:] == (2, 3)
-    assert sorted(out.collect()) == sorted(M.draw(docs, [("m", "big", size["big"] // 3), ("m", "small", int(2.5 * size["small"]))], blocks=blocks).collect())
+    assert sorted(out.collect()) == sorted(M.draw(docs, [("m", "big", size["big"] // 3), ("m", "small", int(2.5 * size["small"]))], block_docs=block_docs).collect())
 
 
 def test_mix_edges(spark):
@@ -81,3 +94,13 @@ def test_truncated_texts(spark):
     assert out.count() == len(rows)
     assert sum(r["texts"] for r in T.rates(out).collect()) == len(rows)
     assert T.truncated(df.limit(0)).count() == 0
+
+
+def test_other_bibliographies_are_whole(spark):
+    """A style of entries that doesn't end with pages is learnt from the corpus; cut ones are found all the same."""
+    books = "\n\n".join(f"\\bibitem{{k{i}}} A. Author, \\emph{{Title {i}}}, Addison-Wesley, 19{60 + i}." for i in range(12))
+    text = BODY + "\\begin{thebibliography}{9}\n" + books
+    rows = [(i, text.replace("map", f"map{i}") + "\n\\end{thebibliography}\n\\end{document}\n", "en", "a") for i in range(30)]
+    rows += [(100, text, "en", "a"), (101, text[:-22], "en", "a"), (102, BODY.upper() + "\\BEGIN{EQUATION}\n A = B.", "en", "a"), (103, BODY + "\\begin{equation}\n\\begin{small}\n a = b.", "en", "a")]
+    got = {r["doc_id"] for r in T.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).filter("cut").collect()}
+    assert got == {101, 102, 103}
