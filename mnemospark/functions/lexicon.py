@@ -55,3 +55,22 @@ PROFILE_LABELS = {
     "domain_expertise": ((0.8, "expert"), (0.6, "advanced"), (0.3, "intermediate"), (0.0, "beginner")),
     "verbosity_preference": ((0.8, "verbose"), (0.6, "moderate"), (0.3, "concise"), (0.0, "terse")),
 }
+RERANK_STOP_WORDS = (
+    "what is the a an on in at to of for and or my me i do does did how why when where which who tell about with from that this are"
+).split()
+ANCHOR_SKIP_WORDS = (
+    "what when where which who how why the this that from with about tell does did has have can could would should will may might"
+).split()
+PHATIC_OPENINGS = (
+    "hey|hi|hello|thanks|thank you|ok|okay|sure|yeah|yep|wow|cool|nice|great|awesome|definitely|totally|absolutely|right|exactly|"
+    "haha|lol|oh|ah|hmm|well|so|anyway|bye|see you|take care"
+)
+INFO_PATTERN = (
+    r"\b(?:\d+\s*(?:percent|%|dollars?|months?|years?|weeks?|days?|hours?|minutes?|k|K|million|billion|mg|kg|lb|miles?|km))\b"
+    r"|(?:\b\d{1,2}\s+\w+\s+\d{4}\b)|(?:\b\d{4}-\d{2}-\d{2}\b)|(?:^I\s+(?:work|left|joined|started|moved|quit|got|decided|plan))"
+)
+UNITS = "percent|%|ms|MB|GB|TB|k|M|B"
+PREDICATE_FORMS = {
+    "working_on": "works_on", "employed_at": "works_at", "employed_by": "works_at", "leading": "leads", "managing": "manages", "using": "uses", "researching": "researches", "is_an": "is_a",
+    "based_in": "located_in", "member_of": "part_of", "built": "created", "likes": "prefers", "quit": "left",
+}
