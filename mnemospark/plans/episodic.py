@@ -139,10 +139,10 @@ def coretrieval_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topic_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks with at least two peers that were retrieved with them, and the peers in order of id (at most ten, as its SQL has it; `topic_groups` has whole groups)."""
-    pairs = coretrieval_pairs(spark, sf)
-    few = F.slice(F.array_sort(F.collect_set("b")), 1, 10)  # a chunk's peers come from the five hits of each query it was in
-    return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("peers"), F.array_join(few, ",").alias("members")).filter("peers >= 2").withColumnRenamed("a", "chunk_id")
+    """Chunks retrieved three times at least with each of two peers or more, a row per peer."""
+    strong = materialize(coretrieval_pairs(spark, sf).filter("times >= 3"), "strong")
+    n = strong.groupBy("a").agg(F.count(F.lit(1)).alias("peers")).filter("peers >= 2")
+    return strong.join(n, "a").select(F.col("a").alias("chunk_id"), F.col("b").alias("peer"), "times", "peers")
 
 
 def topic_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +204,7 @@ QUERIES = {
 
 _ROWS = f"""
 rows_ AS (
-  SELECT chunk_id AS id, any_value(vector) AS vector, any_value(timestamp) AS ts, any_value(user_id) AS grp, any_value(speaker) AS speaker,
+  SELECT chunk_id AS id, any_value(vector) AS vector, any_value(timestamp) AS ts, any_value(user_id) AS grp, any_value(speaker) AS speaker, any_value(conversation_id) AS conv,
          coalesce(greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(any_value(timestamp))) / 8.64e10), 365.0) AS age,
          coalesce(any_value(access_count), 0) AS access, coalesce(any_value(confidence), 1.0) AS confidence
   FROM chunks WHERE chunk_id IS NOT NULL AND vector IS NOT NULL AND len(vector) = 64
@@ -216,6 +216,11 @@ q AS (SELECT * FROM u WHERE CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) %
 
 
 def _topk(k: int, t: float, r: float, i: float, where: str = "true", on: str = "true") -> str:
+    return f"SELECT query_id, id, round(similarity, 6) AS similarity, round(score, 6) AS score FROM ({_SIM_SQL(k, t, r, i, where, on)})"
+
+
+def _SIM_SQL(k: int, t: float, r: float, i: float, where: str = "true", on: str = "true") -> str:  # noqa: N802
+    """As _topk, without rounding."""
     return f"""WITH {_ROWS},
 d AS (SELECT * FROM u WHERE {where}), m AS (SELECT greatest(max(access), 1) AS top FROM d),
 p AS (
@@ -223,7 +228,7 @@ p AS (
   FROM q, d WHERE q.id <> d.id AND {on}),
 s AS (
   SELECT query_id, p.id, sim, (sim * (1 - {t} - {r} - {i}) + {t} * exp(-0.01 * age) + {r} * ln(1 + access) / (SELECT ln(1 + top) FROM m) + {i} * 0.5) * confidence AS score FROM p)
-SELECT query_id, id, round(sim, 6) AS similarity, round(score, 6) AS score FROM s
+SELECT query_id, id, sim AS similarity, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= {k}"""
 
 
@@ -258,7 +263,7 @@ FROM near JOIN x a ON a.chunk_id = query_id JOIN x b ON b.chunk_id = near.id WHE
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, chunk_id) AS n FROM c)
 SELECT chunk_id, ['hot', 'warm', 'cold'][1 + greatest(0, (CASE WHEN n <= 200 THEN 0 WHEN n <= 1000 THEN 1 ELSE 2 END) - (CASE WHEN coalesce(access, 0) > 10 THEN 1 ELSE 0 END))] AS tier FROM r""",
     "coretrieval_pairs": f"{_PAIRS} SELECT a, b, times FROM pairs",
-    "topic_clusters": f"{_PAIRS} SELECT a AS chunk_id, count(*) AS peers, array_to_string(list_sort(list(b))[1:10], ',') AS members FROM pairs GROUP BY a HAVING count(*) >= 2",
+    "topic_clusters": f"{_PAIRS}, strong AS (SELECT *, count(*) OVER (PARTITION BY a) AS peers FROM pairs WHERE times >= 3) SELECT a AS chunk_id, b AS peer, times, peers FROM strong WHERE peers >= 2",
     "budget_trim": f"""WITH {S.TURNS}, s AS (SELECT *, greatest(1, CAST(floor(len({S.words('text')}) * 4 / 3.0) AS INTEGER)) AS tokens FROM turns),
 r AS (SELECT *, sum(tokens) OVER (PARTITION BY conversation_id ORDER BY ts DESC, chunk_id ROWS UNBOUNDED PRECEDING) AS used FROM s)
 SELECT conversation_id, chunk_id, tokens, CAST(used AS BIGINT) AS used FROM r WHERE used <= 100""",

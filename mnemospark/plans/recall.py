@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import lexicon as L
-from mnemospark.functions import temporal as TM
 from mnemospark.functions import text as T
 from mnemospark.operators.ranking import ranked
 from mnemospark.plans import sqlkit as S
@@ -65,41 +60,6 @@ def intent_weights(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf).select("chunk_id", *[F.round(c, 6).alias(k) for k, c in T.intent_weights(F.col("text")).items()])
 
 
-BUDGETS = [(1, 4000, 0.5, 0.5, True, True), (2, 4000, 0.9, 0.1, True, False), (3, 4000, 0.1, 0.9, False, True), (4, 4000, 0.0, 0.0, False, False), (5, 500, 0.7, 0.2, True, True), (6, 100, 0.3, 0.3, True, True)]
-
-
-def budget_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens per layer: fixed ones first, the rest by signal (0.6) and configuration (0.4, at four to three)."""
-    b = spark.createDataFrame(BUDGETS, "case_id int, total int, e double, s double, has_explicit boolean, has_working boolean")
-    behavioral = F.least(F.lit(200), F.expr("total div 20"))
-    explicit = F.when(F.col("has_explicit"), F.least(F.expr("total div 4"), F.greatest(F.lit(200), F.expr("total div 8")))).otherwise(0)
-    working = F.when(F.col("has_working"), F.least(F.expr("total div 6"), F.greatest(F.lit(150), F.expr("total div 10")))).otherwise(0)
-    b = b.withColumns({"behavioral": behavioral, "explicit": explicit, "working": working})
-    rest = F.col("total") - F.col("behavioral") - F.col("explicit") - F.col("working")
-    share = F.when(F.col("e") + F.col("s") > 0, F.col("e") / (F.col("e") + F.col("s"))).otherwise(0.6)
-    episodic = (rest * (share * 0.6 + 0.4 * 4 / 7)).cast("int")
-    b = b.withColumns({"episodic": F.greatest(F.lit(0), episodic), "semantic": F.greatest(F.lit(0), rest - episodic)})
-    return b.select("case_id", *[F.col(c).cast("bigint").alias(c) for c in ("behavioral", "explicit", "working", "episodic", "semantic")])
-
-
-ASKED = [(1, "What does Sogrand Printer cost after the last refund"), (2, "the escrow term at Pribox Node"), (3, "rollback plan and build agent")]
-
-
-def lexical_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    """Lexical boost of texts for a few fixed questions: 8 % a shared term, 15 % a proper noun in the text; the ten best."""
-    t = texts(spark, sf).select("chunk_id", "text", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("w"))
-    out = None
-    for no, question in ASKED:
-        terms = [w for w in dict.fromkeys(question.lower().split()) if w not in L.QUERY_STOP_WORDS]
-        anchors = [m.lower() for m in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", question) if m.lower() != "what"]
-        overlap = F.size(F.array_intersect("w", F.array(*[F.lit(x) for x in terms])))
-        hits = sum((F.when(F.contains(F.lower("text"), F.lit(a)), 1).otherwise(0) for a in anchors), F.lit(0))
-        s = t.select(F.lit(no).alias("query_id"), "chunk_id", overlap.alias("overlap"), hits.alias("anchors")).filter("overlap > 0 or anchors > 0")
-        s = s.withColumn("boost", F.round((1 + F.col("overlap") * 0.08) * F.pow(F.lit(1.15), F.col("anchors")), 6)).orderBy(F.desc("boost"), "chunk_id").limit(10)
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct words of three letters and more of a reply and of the message it answers."""
     c = one_per_chunk(table(spark, sf, "chunks").filter("text is not null"), "text", "extra", "confidence", "access_count")
@@ -122,65 +82,6 @@ def feedback_apply(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(F.col("to").alias("chunk_id"), (F.coalesce("a", F.lit(0)) + 2 * F.col("used")).alias("access_count"), F.round(F.coalesce("c", F.lit(1.0)) * F.pow(F.lit(0.95), F.col("unused")), 6).alias("confidence"))
 
 
-SAYINGS = [
-    "met on 2024-03-15 and 2024-13-40", "since March we use it", "since 2021", "due March 2023", "on Jan 5, 2023 at noon", "yesterday", "see you today", "3 days ago we left", "last week was fine",
-    "2 weeks ago", "this week only", "last month", "5 months ago", "this month", "last year it broke", "2 years ago", "recently and lately", "no dates here", "",
-]
-
-
-def temporal_markers(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates named in a few fixed sentences, against 2024-06-15."""
-    t = spark.createDataFrame([(i, s) for i, s in enumerate(SAYINGS)], "no int, text string")
-    m = t.select("no", F.explode(TM.markers(F.col("text"), F.lit("2024-06-15").cast("date"))).alias("m"))
-    return m.select("no", "m.rule", "m.matched", "m.starts", "m.ends", "m.confidence")
-
-
-def text_dates(spark: SparkSession, sf: str) -> DataFrame:
-    """ISO dates in all texts with how often each was named, by the same rules."""
-    m = texts(spark, sf).select(F.explode(TM.markers(F.col("text"), F.lit("2024-06-15").cast("date"))).alias("m"))
-    return m.groupBy("m.rule", "m.starts").agg(F.count(F.lit(1)).alias("times"))
-
-
-SESSIONS = [(1, "2024-05-07"), (2, "7 May 2023"), (3, "May 8, 2023"), (4, "07/05/2023"), (5, "1:56 pm on 8 May, 2023"), (6, "on 8 May 2023 we met"), (7, "2024-05-07 10:11:12"), (8, "soon"), (9, None)]
-
-
-def session_dates(spark: SparkSession, sf: str) -> DataFrame:
-    s = spark.createDataFrame(SESSIONS, "no int, said string")
-    return s.select("no", TM.session_date(F.col("said")).alias("day"))
-
-
-_FIRST = re.compile(r"\b(I am|I'm|I have|I've|I was|I had|I do|I did|I|my)\b", re.IGNORECASE)
-_IS = {"i am": "is", "i'm": "is", "i have": "has", "i've": "has", "i was": "was", "i had": "had", "i do": "does", "i did": "did"}
-
-
-def _attribute(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    def one(text: str, who: str) -> str:
-        said = False
-
-        def put(m: re.Match) -> str:
-            nonlocal said
-            w = m.group(0).lower()
-            if w == "my":
-                return "their" if said else f"{who}'s"
-            if said:
-                return m.group(0)
-            said = True
-            return f"{who} {_IS[w]}" if w in _IS else who
-
-        return _FIRST.sub(put, text)
-
-    for texts_, speakers in pairs:
-        yield pd.Series([one(t, w) for t, w in zip(texts_, speakers)], dtype=object)
-
-
-def attribution(spark: SparkSession, sf: str) -> DataFrame:
-    """First-person words replaced by the user: the first names the user, later ones refer to the user. Python only where the cue is."""
-    c = one_per_chunk(table(spark, sf, "chunks").filter("text is not null and user_id is not null"), "text", "user_id", "speaker")
-    c = c.filter(F.lower(F.trim("speaker")).isin("user", "human", "me") & F.col("text").rlike(r"(?i)\b(?:i|i'm|i've|my)\b"))
-    put = F.pandas_udf(_attribute, "string")
-    return c.select("chunk_id", put("text", "user_id").alias("text"))
-
-
 def explicit_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Events as settings: the last value of each (user, type) stands, with the time it was first set."""
     e = table(spark, sf, "events").filter("ts is not null")
@@ -270,18 +171,6 @@ def access_counts(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("chunk_id", "access_count").join(log, "chunk_id").select("chunk_id", (F.coalesce("access_count", F.lit(0)) + F.col("n")).alias("access_count"))
 
 
-ANSWERS = [(1, 'Facts: ["Ann uses Spark daily now", "short"]'), (2, "- Ann leads the storage team\n* Bob\n3. Carl moved to the Oslo office"), (3, ""), (4, None), (5, '["one complete fact here"]')]
-
-
-def answer_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts in a model's answer: the array inside it, else its lines without bullets; those over ten characters."""
-    a = spark.createDataFrame(ANSWERS, "no int, answer string")
-    inner = F.from_json(F.nullif(F.regexp_extract("answer", r"(?s)(\[.*\])", 1), F.lit("")), "array<string>")
-    lines = F.transform(F.split("answer", "\n"), lambda s: F.regexp_replace(s, r"^[\s\-*•\d.)]+", ""))
-    got = F.filter(F.transform(F.coalesce(inner, lines), lambda s: F.trim(s)), lambda s: F.length(s) > 10)
-    return a.select("no", F.posexplode(got).alias("place", "fact"))
-
-
 def speaker_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Messages per speaker spelling that may feed a profile."""
     c = one_per_chunk(table(spark, sf, "chunks"), "speaker")
@@ -296,11 +185,11 @@ def session_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "profile_ema": profile_ema, "profile_labels": profile_labels, "signal_window50": signal_window50, "behavioral_signals": behavioral_signals, "intent_weights": intent_weights, "budget_split": budget_split,
-    "lexical_rerank": lexical_rerank, "feedback_overlap": feedback_overlap, "feedback_apply": feedback_apply, "feedback_totals": feedback_totals, "temporal_markers": temporal_markers, "text_dates": text_dates,
-    "session_dates": session_dates, "attribution": attribution, "explicit_latest": explicit_latest, "explicit_search": explicit_search, "tombstones": tombstones, "working_context": working_context,
+    "profile_ema": profile_ema, "profile_labels": profile_labels, "signal_window50": signal_window50, "behavioral_signals": behavioral_signals, "intent_weights": intent_weights, 
+    "feedback_overlap": feedback_overlap, "feedback_apply": feedback_apply, "feedback_totals": feedback_totals, 
+    "explicit_latest": explicit_latest, "explicit_search": explicit_search, "tombstones": tombstones, "working_context": working_context,
     "metrics_histogram": metrics_histogram, "store_stats": store_stats, "centroids": centroids, "seed_types": seed_types, "knowledge_assembly": knowledge_assembly, "access_counts": access_counts,
-    "answer_facts": answer_facts, "speaker_gate": speaker_gate, "session_windows": session_windows,
+    "speaker_gate": speaker_gate, "session_windows": session_windows,
 }
 
 _SIG = "s AS (SELECT DISTINCT * FROM profile_signals WHERE signal IS NOT NULL AND signal_at IS NOT NULL)"
@@ -311,19 +200,6 @@ w AS (SELECT *, list_distinct(list_filter({S.tokens('text')}, lambda x: length(x
 r AS (SELECT a.chunk_id, a."to", coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0.0) AS j, b.confidence, b.access_count FROM w a JOIN w b ON b.chunk_id = a."to")"""
 
 
-def _rerank() -> str:
-    parts = []
-    for no, question in ASKED:
-        terms = [w for w in dict.fromkeys(question.lower().split()) if w not in L.QUERY_STOP_WORDS]
-        anchors = [m.lower() for m in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", question) if m.lower() != "what"]
-        hits = " + ".join([f"(CASE WHEN contains(lower(text), '{a}') THEN 1 ELSE 0 END)" for a in anchors] or ["0"])
-        parts.append(
-            f"(SELECT {no} AS query_id, chunk_id, overlap, anchors, round((1 + overlap * 0.08) * pow(1.15, anchors), 6) AS boost FROM "
-            f"(SELECT chunk_id, len(list_intersect({S.words('lower(text)')}, [{S.quoted(terms)}])) AS overlap, {hits} AS anchors FROM t) WHERE overlap > 0 OR anchors > 0 ORDER BY boost DESC, chunk_id LIMIT 10)"
-        )
-    return f"WITH {S.TEXTS} " + " UNION ALL ".join(parts)
-
-
 def _labels() -> str:
     return "CASE " + " ".join(f"WHEN dimension = '{d}' THEN CASE {' '.join(f'WHEN value >= {v} THEN {chr(39)}{n}{chr(39)}' for v, n in steps)} ELSE 'unknown' END" for d, steps in L.PROFILE_LABELS.items()) + " ELSE 'unknown' END"
 
@@ -331,13 +207,6 @@ def _labels() -> str:
 _I = f"""i AS (SELECT chunk_id, {S.count_of('text', L.RECENCY, L.RECENCY_PHRASES)} AS r, {S.count_of('text', L.PRECISION, L.PRECISION_PHRASES)} AS p, {S.count_of('text', L.BREADTH, L.BREADTH_PHRASES)} AS b FROM t),
 w AS (SELECT chunk_id, CASE WHEN b > 0 THEN 0.5 ELSE 0.75 - least(0.30, r * 0.15) + least(0.15, p * 0.08) END AS s, CASE WHEN b > 0 THEN 0.2 ELSE 0.15 + least(0.30, r * 0.15) - least(0.15, p * 0.08) * 0.5 END AS t,
   CASE WHEN b > 0 THEN 0.15 ELSE 0.05 END AS f, CASE WHEN b > 0 THEN 0.15 ELSE greatest(0, 0.05 - least(0.15, p * 0.08) * 0.5) END AS m FROM i)"""
-_MARKS = """VALUES (0, 'iso_date', '2024-03-15', DATE '2024-03-15', NULL::DATE, 0.95), (1, 'since_month', 'since march', DATE '2024-03-01', DATE '2024-06-15', 0.8), (2, 'since_year', 'since 2021', DATE '2021-01-01', DATE '2024-06-15', 0.85),
-(3, 'month_year', 'march 2023', DATE '2023-03-01', DATE '2023-03-31', 0.9), (4, 'short_date', 'jan 5, 2023', DATE '2023-01-05', NULL, 0.95), (5, 'yesterday', 'yesterday', DATE '2024-06-14', NULL, 0.9),
-(6, 'today', 'today', DATE '2024-06-15', NULL, 0.9), (7, 'days_ago', '3 days ago', DATE '2024-06-12', NULL, 0.85), (8, 'last_week', 'last week', DATE '2024-06-08', DATE '2024-06-15', 0.75), (9, 'weeks_ago', '2 weeks ago', DATE '2024-06-01', NULL, 0.8),
-(10, 'this_week', 'this week', DATE '2024-06-10', DATE '2024-06-15', 0.8), (11, 'last_month', 'last month', DATE '2024-05-01', DATE '2024-05-31', 0.75), (12, 'months_ago', '5 months ago', DATE '2024-01-01', NULL, 0.8),
-(13, 'this_month', 'this month', DATE '2024-06-01', DATE '2024-06-15', 0.8), (14, 'last_year', 'last year', DATE '2023-01-01', DATE '2023-12-31', 0.7), (15, 'years_ago', '2 years ago', DATE '2022-01-01', NULL, 0.75),
-(16, 'recently', 'recently', DATE '2024-06-01', DATE '2024-06-15', 0.5), (16, 'recently', 'lately', DATE '2024-06-01', DATE '2024-06-15', 0.5)"""
-_BUDGET_ROWS = ", ".join(f"({a}, {b}, {c}, {d}, {e}, {f})".replace("True", "true").replace("False", "false") for a, b, c, d, e, f in BUDGETS)
 _LATEST = "x AS (SELECT user_id, event_type AS key, json_extract_string(arg_max(props, (ts, event_id)), '$.k') AS value, min(ts) AS created, max(ts) AS updated FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)"
 
 ORACLE = {
@@ -351,17 +220,9 @@ SELECT chunk_id, round(least(1.0, n / 200 * 0.5 + tech / 5 * 0.5), 6) AS respons
   round(least(1.0, tech / greatest(n, 1) * 10), 6) AS domain_expertise, round(least(1.0, n / 300), 6) AS verbosity_preference FROM k""",
     "intent_weights": f"""WITH {S.TEXTS}, {_I}
 SELECT chunk_id, CAST(round(CAST(s AS DOUBLE) / (s + t + f + m), 6) AS DOUBLE) AS similarity, CAST(round(CAST(t AS DOUBLE) / (s + t + f + m), 6) AS DOUBLE) AS temporal, CAST(round(CAST(f AS DOUBLE) / (s + t + f + m), 6) AS DOUBLE) AS reinforcement, CAST(round(CAST(m AS DOUBLE) / (s + t + f + m), 6) AS DOUBLE) AS importance FROM w""",
-    "budget_split": f"""WITH b AS (SELECT * FROM (VALUES {_BUDGET_ROWS}) v(case_id, total, e, s, has_explicit, has_working)),
-f AS (SELECT *, least(200, total // 20) AS behavioral, CASE WHEN has_explicit THEN least(total // 4, greatest(200, total // 8)) ELSE 0 END AS explicit, CASE WHEN has_working THEN least(total // 6, greatest(150, total // 10)) ELSE 0 END AS working FROM b),
-r AS (SELECT *, total - behavioral - explicit - working AS rest, CASE WHEN e + s > 0 THEN CAST(e AS DOUBLE) / CAST(e + s AS DOUBLE) ELSE 0.6 END AS share FROM f),
-g AS (SELECT *, CAST(trunc(rest * (CAST(share AS DOUBLE) * 0.6 + CAST(1.6 AS DOUBLE) / 7)) AS BIGINT) AS ep FROM r)
-SELECT case_id, CAST(behavioral AS BIGINT) AS behavioral, CAST(explicit AS BIGINT) AS explicit, CAST(working AS BIGINT) AS working, greatest(0, ep) AS episodic, greatest(0, rest - ep) AS semantic FROM g""",
-    "lexical_rerank": _rerank(),
     "feedback_overlap": f'WITH {_REP} SELECT chunk_id, "to", round(j, 6) AS overlap, j >= 0.15 AS used FROM r',
     "feedback_apply": f'WITH {_REP} SELECT "to" AS chunk_id, coalesce(any_value(access_count), 0) + 2 * count(*) FILTER (WHERE j >= 0.15) AS access_count, round(coalesce(any_value(confidence), 1.0) * pow(0.95, count(*) FILTER (WHERE j < 0.15)), 6) AS confidence FROM r GROUP BY "to"',
     "feedback_totals": f"WITH {_REP} SELECT count(*) AS replies, count(*) FILTER (WHERE j >= 0.15) AS used, round(count(*) FILTER (WHERE j >= 0.15) / count(*), 6) AS ratio FROM r",
-    "temporal_markers": f"SELECT no, rule, matched, starts, ends, CAST(confidence AS DOUBLE) AS confidence FROM ({_MARKS}) v(no, rule, matched, starts, ends, confidence)",
-    "session_dates": "SELECT no, day FROM (VALUES (1, DATE '2024-05-07'), (2, DATE '2023-05-07'), (3, DATE '2023-05-08'), (4, DATE '2023-05-07'), (5, NULL), (6, DATE '2023-05-08'), (7, DATE '2024-05-07'), (8, NULL), (9, NULL)) v(no, day)",
     "explicit_latest": f"WITH {_LATEST} SELECT user_id, key, value, created, updated FROM x",
     "explicit_search": f"WITH {_LATEST} SELECT user_id, key, value, row_number() OVER (PARTITION BY user_id ORDER BY TRY_CAST(value AS INTEGER) DESC NULLS LAST, key) AS place FROM x WHERE contains(lower(key), 'click') OR contains(lower(value), '7')",
     "tombstones": """WITH g AS (SELECT user_id, max(ts) AS gone FROM events WHERE event_type = 'error' GROUP BY 1)
@@ -383,7 +244,6 @@ r AS (SELECT *, sum(greatest(1, CAST(floor(len({S.words('line')}) * 4 / 3.0) AS
 SELECT user_id, md5(string_agg(line, chr(10) ORDER BY c DESC, line)) AS digest, count(*) AS facts, CAST(max(used) AS BIGINT) AS tokens FROM r WHERE used <= 60 GROUP BY 1""",
     "access_counts": """WITH c AS (SELECT chunk_id, any_value(extra) AS extra, any_value(access_count) AS a FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
 l AS (SELECT json_extract_string(extra, '$.reply_to') AS chunk_id, count(*) AS n FROM c WHERE json_valid(extra) GROUP BY 1) SELECT chunk_id, coalesce(a, 0) + n AS access_count FROM c JOIN l USING (chunk_id)""",
-    "answer_facts": "SELECT no, place, fact FROM (VALUES (1, 0, 'Ann uses Spark daily now'), (2, 0, 'Ann leads the storage team'), (2, 1, 'Carl moved to the Oslo office'), (5, 0, 'one complete fact here')) v(no, place, fact)",
     "speaker_gate": "WITH c AS (SELECT chunk_id, any_value(speaker) AS speaker FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT coalesce(lower(speaker), '') AS speaker, count(*) AS messages FROM c WHERE coalesce(lower(speaker), '') IN ('user', 'human', '') GROUP BY 1",
     "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events FROM s GROUP BY user_id, no""",

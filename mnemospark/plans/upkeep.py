@@ -50,9 +50,6 @@ def fact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return k.groupBy(F.md5("k").alias("fact")).agg(F.count(F.lit(1)).alias("times"), F.min("chunk_id").alias("first_chunk"))
 
 
-PHRASES = ["yesterday", "last night", "today", "last week", "last month", "this month", "recently", "3 days ago", "2 weeks ago", "4 months ago", "a few days", "soon"]
-
-
 def said_date(phrase: Column, day: Column) -> Column:
     """The day that a phrase of a session on `day` means; null where it can't be told. Months go to the middle or to day 28 at most."""
     n = F.coalesce(F.regexp_extract(phrase, r"(\d+)", 1).try_cast("int"), F.lit(2))
@@ -69,12 +66,6 @@ def said_date(phrase: Column, day: Column) -> Column:
     )
 
 
-def relative_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.createDataFrame([(i, s) for i, s in enumerate(PHRASES)], "no int, said string")
-    d = said_date(F.col("said"), F.lit("2023-05-30").cast("date"))
-    return p.select("no", F.coalesce(F.concat(F.lit("on "), F.date_format(d, "d MMMM yyyy")), F.col("said")).alias("text"))
-
-
 RELATIVE = (
     r"(?iU)\b(yesterday|today|last\s+(?:week|month|year|night|time)|this\s+(?:week|month|year|morning|afternoon|evening)|the\s+other\s+day|"
     r"(?:a\s+)?(?:few|couple(?:\s+of)?)\s+(?:days?|weeks?|months?)\s+ago|\d+\s+(?:days?|weeks?|months?|years?)\s+ago|recently|lately|just\s+(?:now|recently))\b"
@@ -100,7 +91,7 @@ def text_with_dates(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("chunk_id", with_dates(F.col("text"), F.col("timestamp").cast("date")).alias("text"))
 
 
-QUERIES = {"text_with_dates": text_with_dates, "chunk_decay": chunk_decay, "eviction_candidates": eviction_candidates, "fact_status_counts": fact_status_counts, "fact_keys": fact_keys, "extraction_stats": extraction_stats, "fact_dedup": fact_dedup, "relative_phrases": relative_phrases}
+QUERIES = {"text_with_dates": text_with_dates, "chunk_decay": chunk_decay, "eviction_candidates": eviction_candidates, "fact_status_counts": fact_status_counts, "fact_keys": fact_keys, "extraction_stats": extraction_stats, "fact_dedup": fact_dedup}
 
 _C = f"""c AS (SELECT chunk_id, any_value(confidence) AS confidence, any_value(access_count) AS a, greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(any_value(timestamp))) / 8.64e10) AS d
   FROM chunks WHERE chunk_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1)"""
@@ -114,6 +105,4 @@ ORACLE = {
     "fact_dedup": rf"""WITH {S.TEXTS}, s AS (SELECT chunk_id, unnest({S.sentences('text')}) AS s FROM t),
 k AS (SELECT chunk_id, regexp_replace(lower(s), '[^\p{{L}}\p{{N}}_ ]+', '', 'g') AS k FROM s WHERE length(s) >= 15 AND (len({S.proper('s')}) > 0 OR regexp_matches(s, '[0-9]')))
 SELECT md5(k) AS fact, count(*) AS times, min(chunk_id) AS first_chunk FROM k WHERE length(k) > 10 GROUP BY 1""",
-    "relative_phrases": """SELECT no, text FROM (VALUES (0, 'on 29 May 2023'), (1, 'on 29 May 2023'), (2, 'on 30 May 2023'), (3, 'on 23 May 2023'), (4, 'on 15 April 2023'), (5, 'on 1 May 2023'), (6, 'on 27 May 2023'), (7, 'on 27 May 2023'),
-(8, 'on 16 May 2023'), (9, 'on 28 January 2023'), (10, 'on 27 May 2023'), (11, 'soon')) v(no, text)""",
 }
