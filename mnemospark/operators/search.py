@@ -86,32 +86,32 @@ def fused_search(queries: DataFrame, rows: DataFrame, k: int = 10, weights: Weig
             best: list[tuple[np.ndarray, ...]] = []
             groups = {g: i for i, g in enumerate(dict.fromkeys(q_grp))}
             q_code = np.array([groups[g] for g in q_grp])
+            everyone = np.arange(len(ids))
             for b in batches:
                 at, x = _unit(b.column(1), dims)
                 if not len(at):
                     continue
                 age, access, conf, imp, order = _columns(b, at)
                 names = np.array(b.column(0).take(pa.array(at)).to_pylist(), object)
-                sim = q @ x.T
                 fixed = w.temporal * np.exp(-w.decay * age) + w.reinforcement * np.log1p(access) / scale + w.importance * imp
-                score = (sim * (1 - w.temporal - w.reinforcement - w.importance) + fixed) * conf
-                bad = names[None, :] == ids[:, None]
-                if same_group:
+                if same_group:  # each group of the batch meets its own queries only
                     code = np.array([groups.get(g, -1) for g in b.column(7).take(pa.array(at)).to_pylist()])
-                    bad |= code[None, :] != q_code[:, None]
-                if earlier:
-                    bad |= order[None, :] >= q_ord[:, None]
-                score = np.where(bad, -np.inf, score)
-                # rank by the rounded score, ties by id: what a rounding error orders is not kept apart
-                keep = min(k, len(at))
-                by_id = np.argsort(names, kind="stable")
-                s = np.round(score[:, by_id], 9)
-                pick = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-                row = np.repeat(np.arange(len(ids)), keep)
-                col = by_id[pick.ravel()]
-                ok = np.isfinite(score[row, col])
-                best.append((row[ok], names[col[ok]], sim[row[ok], col[ok]], score[row[ok], col[ok]]))
-            if best:
+                    meet = [(np.flatnonzero(q_code == g), np.flatnonzero(code == g)) for g in np.unique(code) if g >= 0]
+                else:
+                    meet = [(everyone, np.arange(len(at)))]
+                for qs, rs in meet:
+                    sim = q[qs] @ x[rs].T
+                    score = (sim * (1 - w.temporal - w.reinforcement - w.importance) + fixed[rs]) * conf[rs]
+                    bad = names[rs][None, :] == ids[qs][:, None]
+                    if earlier:
+                        bad |= order[rs][None, :] >= q_ord[qs][:, None]
+                    # what a rounding error orders is not kept apart: all rows as good as the k-th stay here
+                    s = np.where(bad, -np.inf, np.round(score, 9))
+                    keep = min(k, len(rs))
+                    kth = np.partition(s, len(rs) - keep, axis=1)[:, len(rs) - keep]
+                    row, col = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+                    best.append((qs[row], names[rs[col]], sim[row, col], score[row, col]))
+            if best and sum(len(c[0]) for c in best):
                 row, name, sim, score = (np.concatenate(c) for c in zip(*best))
                 order = np.lexsort((name.astype("U"), -np.round(score, 9), row))
                 row, name, sim, score = row[order], name[order], sim[order], score[order]

@@ -78,14 +78,31 @@ def contradictions_direct(spark: SparkSession, sf: str) -> DataFrame:
     return j.select(F.col("id").alias("winner"), "loser", "predicate", F.lit("direct").alias("kind"), F.round(D.superseded(F.col("old")), 6).alias("loser_confidence"))
 
 
+EVENT_FACTS = {"signup": "works_at", "error": "left", "click": "uses", "view": "stopped_using", "purchase": "leads"}
+
+
+def _stated(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, id, holder, predicate, at): active facts by user and subject, and events as facts of their user."""
+    f = facts(spark, sf).filter("first_seen is not null and status = 'active'")
+    f = f.select(F.lit("fact").alias("source"), "id", F.concat_ws("/", "user_id", "subject_key").alias("holder"), "predicate", F.unix_micros(F.col("first_seen").cast("timestamp")).alias("at"))
+    kind = F.create_map(*[F.lit(x) for pair in EVENT_FACTS.items() for x in pair])
+    e = table(spark, sf, "events").filter("ts is not null")
+    e = e.select(F.lit("event").alias("source"), F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("holder"), F.element_at(kind, F.col("event_type")).alias("predicate"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return f.unionByName(e)
+
+
 def contradictions_negation(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as facts: a signup is works_at, an error is left; each negation is set against the last works_at before it, whatever the object."""
-    e = table(spark, sf, "events").filter(F.col("event_type").isin("signup", "error")).select("event_id", "user_id", "ts", F.when(F.col("event_type") == "signup", "works_at").otherwise("left").alias("predicate"))
-    # the state before an event is the number of signups so far: a running sum finds it without pairing events
-    r = ranked(e.withColumn("one", F.when(F.col("predicate") == "works_at", 1).otherwise(0)), ["user_id"], ["ts", "event_id"], "seen", value="one")
-    r = materialize(r, "negation")
-    works = r.filter("one = 1").select("user_id", "seen", F.col("event_id").alias("negated"))
-    return r.filter("one = 0").join(works, ["user_id", "seen"]).select(F.col("event_id").alias("negation"), "negated", "user_id")
+    """Facts and events whose predicate negates another, through all five pairs, each against the last one before it that it negates, whatever the object: the newer one wins.
+
+    The state before is the number of negated facts so far: a running sum finds it
+    without pairing.
+    """
+    positive = F.create_map(*[F.lit(x) for p, n in L.NEGATIONS.items() for x in (n, p)])
+    s = _stated(spark, sf).withColumn("base", F.coalesce(F.element_at(positive, F.col("predicate")), F.when(F.col("predicate").isin(list(L.NEGATIONS)), F.col("predicate"))))
+    s = s.filter("base is not null").withColumn("one", F.when(F.col("predicate") == F.col("base"), 1).otherwise(0))
+    r = materialize(ranked(s, ["source", "holder", "base"], ["at", "id"], "seen", value="one"), "negation")
+    held = r.filter("one = 1").select("source", "holder", "base", "seen", F.col("id").alias("negated"))
+    return r.filter("one = 0").join(held, ["source", "holder", "base", "seen"]).select("source", F.col("id").alias("negation"), "negated", "base")
 
 
 def facts_negated(spark: SparkSession, sf: str) -> DataFrame:
@@ -340,8 +357,13 @@ FROM f WHERE confidence IS NOT NULL AND first_seen IS NOT NULL GROUP BY 1, 2, 3,
     "contradictions_direct": f"""WITH {_F}, c AS (SELECT *, lag(id) OVER w AS loser, lag(object_key) OVER w AS old_object, lag(confidence) OVER w AS old FROM f
   WHERE first_seen IS NOT NULL AND status = 'active' AND predicate IN ({S.quoted(L.EXCLUSIVE_PREDICATES)}) WINDOW w AS (PARTITION BY user_id, subject_key, predicate ORDER BY first_seen, id))
 SELECT id AS winner, loser, predicate, 'direct' AS kind, round(greatest(0.01, old * 0.3), 6) AS loser_confidence FROM c WHERE object_key <> old_object""",
-    "contradictions_negation": """WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS negated FROM events WHERE event_type IN ('signup', 'error'))
-SELECT event_id AS negation, negated, user_id FROM e WHERE event_type = 'error' AND negated IS NOT NULL""",
+    "contradictions_negation": f"""WITH {_F}, s AS (SELECT 'fact' AS source, id, concat_ws('/', user_id, subject_key) AS holder, predicate, epoch_us(first_seen) AS at_ FROM f WHERE first_seen IS NOT NULL AND status = 'active'
+  UNION ALL SELECT 'event', event_id, CAST(user_id AS VARCHAR), CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in EVENT_FACTS.items())} END, epoch_us(ts) FROM events WHERE ts IS NOT NULL),
+b AS (SELECT *, CASE predicate {' '.join(f"WHEN '{x}' THEN '{p}'" for p, n in L.NEGATIONS.items() for x in (p, n))} END AS base FROM s),
+l AS (SELECT *, last_value(CASE WHEN predicate = base THEN id END IGNORE NULLS) OVER (PARTITION BY source, holder, base ORDER BY at_, id ROWS UNBOUNDED PRECEDING) AS negated FROM b WHERE base IS NOT NULL)
+SELECT source, id AS negation, negated, base FROM l WHERE predicate <> base AND negated IS NOT NULL""",
+    "facts_negated": f"""WITH {_F}, k AS (SELECT *, CASE predicate {' '.join(f"WHEN '{n}' THEN '{p}'" for p, n in L.NEGATIONS.items())} END AS positive FROM f WHERE first_seen IS NOT NULL AND status = 'active')
+SELECT n.id AS winner, o.id AS loser, n.positive AS predicate, 'negation' AS kind FROM k n JOIN k o ON o.user_id = n.user_id AND o.subject_key = n.subject_key AND o.predicate = n.positive AND (o.first_seen, o.id) < (n.first_seen, n.id)""",
     "fact_current_state": f"""WITH {_F}, a AS (SELECT *, CASE WHEN status IN ('superseded', 'retracted') THEN greatest(first_seen, last_seen) ELSE least(first_seen, last_seen) END AS eff FROM f WHERE first_seen IS NOT NULL AND last_seen IS NOT NULL),
 s AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id, subject_key, predicate ORDER BY eff DESC, id DESC) = 1)
 SELECT user_id, subject_key, predicate, object_key, status, confidence FROM s WHERE status NOT IN ('superseded', 'retracted')""",

@@ -95,3 +95,9 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     """Delete a folder and all in it, on any file system that Hadoop knows."""
     p, fs = _hadoop(spark, path)
     return fs.delete(p, True)
+
+
+def move_path(spark: SparkSession, old: str, new: str) -> None:
+    p, fs = _hadoop(spark, old)
+    if not fs.rename(p, _hadoop(spark, new)[0]):
+        raise OSError(f"{old} could not be moved to {new}")

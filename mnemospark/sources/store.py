@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemospark.session import delete_path, move_path, path_exists
+
 _S, _D, _L, _TS, _A = T.StringType(), T.DoubleType(), T.LongType(), T.TimestampType(), T.ArrayType(T.StringType())
 
 
@@ -37,15 +40,19 @@ LOGS: dict[str, Log] = {
     "config": Log(_schema(("key", _S), ("value", _S), *_COMMON), ("key",), ("written_at", "seq")),
     "working": Log(_schema(("session_id", _S), ("entry_id", _S), ("entry_type", _S), ("content", _S), *_COMMON), ("session_id", "entry_id"), ("written_at", "seq")),
 }
-SCHEMA_VERSION = 1
+PARTS = 64  # folders of a log; a user lies in one of them
+
+
+def _part(user):
+    return F.pmod(F.xxhash64(user), F.lit(PARTS)).cast("int")
 
 
 class MemoryStore:
-    """Tables under one path, partitioned by user. Writes append; the last version of a key stands unless it is a tombstone.
+    """Tables under one path, in parts by a hash of the user. Writes append; the last version of a key stands unless it is a tombstone.
 
     Each append is one job commit, so readers see it whole or not at all; there is no
-    transaction over several tables. A user is erased by overwriting only the partition
-    of that user.
+    transaction over several tables. A user is erased by writing the part of that user
+    anew without them.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -59,24 +66,24 @@ class MemoryStore:
         log = LOGS[name]
         cols = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in log.schema]
         out = rows.select(*cols).withColumn("written_at", F.coalesce("written_at", F.current_timestamp())).withColumn("deleted", F.lit(deleted))
-        out.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id())).write.partitionBy("user_id").mode("append").parquet(self._at(name))
+        out.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id())).withColumn("part", _part(F.col("user_id"))).write.partitionBy("part").mode("append").parquet(self._at(name))
 
     def delete(self, name: str, keys: DataFrame) -> None:
         """Append tombstones for keys (user_id and the log's key columns)."""
         self.append(name, keys, deleted=True)
 
     def _exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self._at(name))
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return path_exists(self.spark, self._at(name))
 
     def log(self, name: str, user_id: str | None = None) -> DataFrame:
-        """All versions; a user's log reads that user's partition only."""
+        """All versions; a user's log reads one part only."""
         schema = T.StructType([*LOGS[name].schema.fields, T.StructField("deleted", T.BooleanType())])
         if not self._exists(name):
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(self._at(name)).select(*schema.names)
-        return df.filter(F.col("user_id") == user_id) if user_id is not None else df
+        df = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.IntegerType())])).parquet(self._at(name))
+        if user_id is not None:
+            df = df.filter((F.col("part") == _part(F.lit(user_id))) & (F.col("user_id") == user_id))
+        return df.select(*schema.names)
 
     def state(self, name: str, user_id: str | None = None) -> DataFrame:
         """The last version of every key, without deleted ones: one aggregation with partial combining."""
@@ -115,27 +122,60 @@ class MemoryStore:
         return out
 
     def erase(self, user_id: str) -> None:
-        """Remove everything of one user from every log."""
-        jvm = self.spark._jvm
+        """Remove everything of one user from every log. The part is written anew beside the log and moved into its place."""
+        part = self.spark.range(1).select(_part(F.lit(user_id))).first()[0]
         for name in LOGS:
-            from urllib.parse import quote
-
-            p = jvm.org.apache.hadoop.fs.Path(f"{self._at(name)}/user_id={quote(user_id, safe='')}")
-            fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            if fs.exists(p):
-                fs.delete(p, True)
+            old = f"{self._at(name)}/part={part}"
+            if not path_exists(self.spark, old):
+                continue
+            new = f"{self.path}/_erasing-{name}-{uuid.uuid4().hex}"
+            keep = self.spark.read.schema(T.StructType([*LOGS[name].schema.fields, T.StructField("deleted", T.BooleanType())])).parquet(old)
+            keep.filter(~F.col("user_id").eqNullSafe(user_id)).write.parquet(new)
+            delete_path(self.spark, old)
+            move_path(self.spark, new, old)
+
+    def version(self) -> int:
+        """The version of the layout: the last migration that was noted, 1 for stores older than the notes."""
+        at = f"{self.path}/_versions"
+        if not path_exists(self.spark, at):
+            return 1 if any(self._exists(n) for n in LOGS) else MIGRATIONS[-1][0]
+        return self.spark.read.parquet(at).agg(F.max("version")).first()[0]
+
+    def migrate(self) -> list[int]:
+        """Run what is pending, in order; each version is noted once its step is done, so a failed run goes on from there."""
+        done = []
+        for version, what, step in MIGRATIONS:
+            if version > self.version():
+                step(self)
+                self.spark.createDataFrame([(version, what)], "version int, what string").write.mode("append").parquet(f"{self.path}/_versions")
+                done.append(version)
+        return done
 
     def snapshot(self, path: str) -> None:
         """The present state of every log as tables under another path."""
         for name in LOGS:
             if self._exists(name):
-                self.state(name).write.partitionBy("user_id").mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+                self.state(name).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
     def get_config(self, key: str, default: str | None = None, user_id: str = "") -> str | None:
         row = self.state("config", user_id).filter(F.col("key") == key).select("value").head()
         return row["value"] if row else default
 
 
+def _folders_to_parts(store: MemoryStore) -> None:
+    """Version 2: logs with a folder per user get parts by a hash of the user."""
+    for name in LOGS:
+        if store._exists(name):
+            old, new = store._at(name), f"{store.path}/_moving-{name}-{uuid.uuid4().hex}"
+            rows = store.spark.read.parquet(old)
+            rows.drop("part").withColumn("user_id", F.col("user_id").cast("string")).withColumn("part", _part(F.col("user_id"))).write.partitionBy("part").parquet(new)
+            delete_path(store.spark, old)
+            move_path(store.spark, new, old)
+
+
+MIGRATIONS = [(2, "parts by a hash of the user in the place of a folder per user", _folders_to_parts)]
+
+
 def prometheus(counts: DataFrame) -> DataFrame:
     """One line of text per count, in the exposition format."""
     label = F.concat(F.lit('{user="'), F.coalesce("user_id", F.lit("")), F.lit('",layer="'), F.col("layer"), F.lit('"} '))

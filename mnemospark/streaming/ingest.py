@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemospark.functions import text as T
+from mnemospark.sources.embedders import Embedder, embed
 from mnemospark.sources.store import MemoryStore
 
 TURN = "turn_id string, user_id string, conversation_id string, speaker string, text string, ts timestamp"
@@ -23,10 +24,15 @@ def turns_to_chunks(turns: DataFrame) -> DataFrame:
     return w.select(F.concat_ws("/", "turn_id", "no").alias("chunk_id"), "user_id", "conversation_id", "speaker", "text", F.col("ts").alias("timestamp"), score.alias("importance"), score.alias("confidence"))
 
 
-def ingest_stream(turns: DataFrame, store: MemoryStore, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
-    """Append each micro-batch's chunks to the store; a turn that is delivered again within the watermark is dropped."""
+def ingest_stream(turns: DataFrame, store: MemoryStore, checkpoint: str, late: str = "1 hour", make: Callable[[], Embedder] | None = None) -> StreamingQuery:
+    """Append each micro-batch's chunks to the store, with vectors if an embedder is made; a turn that is delivered again within the watermark is dropped."""
     fresh = turns.withWatermark("ts", late).dropDuplicatesWithinWatermark(["turn_id"])
-    return fresh.writeStream.foreachBatch(lambda df, _: store.append("chunk", turns_to_chunks(df))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def write(df: DataFrame, _: int) -> None:
+        chunks = turns_to_chunks(df)
+        store.append("chunk", chunks.withColumn("vector", embed(F.col("text"), make)) if make else chunks)
+
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def session_stream(turns: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -36,18 +42,50 @@ def session_stream(turns: DataFrame, gap: str = "30 minutes", late: str = "1 hou
 
 def _fold(weight: float) -> Callable:
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, n = state.get if state.exists else (0.5, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "signal"])
-        for s in rows["signal"].dropna():
-            value, n = value * (1 - weight) + s * weight, n + 1
-        state.update((value, n))
+        value, n, times, signals = state.get if state.exists else (0.5, 0, [], [])
+        rows = pd.concat(list(batches)).dropna(subset=["signal", "ts"])
+        pending = sorted([*zip(times, signals), *zip(rows["ts"].astype("int64").tolist(), rows["signal"].tolist())])
+        line = state.getCurrentWatermarkMs() * 10**6
+        sure = [s for t, s in pending if t < line]
+        for s in sure:
+            value = value * (1 - weight) + s * weight
+        n += len(sure)
+        pending = pending[len(sure) :]
+        state.update((value, n, [t for t, _ in pending], [s for _, s in pending]))
+        for _, s in pending:  # what is shown counts them in the order known so far
+            value = value * (1 - weight) + s * weight
+        n += len(pending)
         yield pd.DataFrame({"user_id": [key[0]], "dimension": [key[1]], "value": [value], "signals": [n], "confidence": [min(1.0, min(n, 50) / 20)]})
 
     return update
 
 
-def profile_stream(signals: DataFrame, weight: float = 0.2) -> DataFrame:
-    """Running profile values per (user_id, dimension) of a stream with signal and ts; state is two numbers a key."""
-    return signals.groupBy("user_id", "dimension").applyInPandasWithState(
-        _fold(weight), "user_id string, dimension string, value double, signals long, confidence double", "value double, signals long", "update", GroupStateTimeout.NoTimeout
+def profile_stream(signals: DataFrame, weight: float = 0.2, late: str = "1 hour") -> DataFrame:
+    """Running profile values per (user_id, dimension) of a stream with signal and ts, folded in order of time.
+
+    State is the value of all signals before the watermark and the signals behind it, so
+    one that comes late by less than `late` still takes its place; a later one counts on
+    arrival.
+    """
+    return signals.withWatermark("ts", late).groupBy("user_id", "dimension").applyInPandasWithState(
+        _fold(weight), "user_id string, dimension string, value double, signals long, confidence double", "value double, signals long, times array<long>, pending array<double>", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def _batches(size: int) -> Callable:
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (held, no) = state.get if state.exists else ([], 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "turn_id"])
+        held = [*held, *rows["text"].tolist()]
+        full = len(held) // size
+        out = [(key[0], no + i, "\n".join(held[i * size : (i + 1) * size])) for i in range(full)]
+        state.update((held[full * size :], no + full))
+        yield pd.DataFrame(out, columns=["user_id", "batch", "text"])
+
+    return update
+
+
+def turn_batch_stream(turns: DataFrame, size: int = 5, late: str = "1 hour") -> DataFrame:
+    """A text for extraction of every `size` turns of a user that have five words at least, in order of arrival; state is the turns of an unfinished batch."""
+    kept = turns.withWatermark("ts", late).filter(F.size(T.words(F.col("text"))) >= 5).select("user_id", "turn_id", "text", "ts")
+    return kept.groupBy("user_id").applyInPandasWithState(_batches(size), "user_id string, batch long, text string", "held array<string>, no long", "append", GroupStateTimeout.NoTimeout)
