@@ -173,7 +173,3 @@ def count_tokens(df: DataFrame, keys: list[str] | None = None, text: str = "text
     """(keys, n_tokens) of every row: the length of the list that encode_corpus gives."""
     keys = keys or ["doc_id"]
     return _encoded(df, keys, text, path, _key_schema(df, keys) + ", n_tokens bigint", counts=True)
-
-
-def vocabulary_size(spark: SparkSession, path: str = DEFAULT_VOCABULARY) -> int:
-    return len(load_ranks(path))

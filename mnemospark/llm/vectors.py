@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +50,23 @@ def sample_vectors(df: DataFrame, key: str, vector: str, most: int, dims: int =
     return (unit(x) if len(x) else x.astype(np.float64)), n
 
 
+#: Schemes by which Hadoop names stores that Arrow names otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a path that Hadoop would understand, and the path in it. Credentials come from where the store's own clients look for them."""
+    scheme, sep, rest = path.partition("://")
+    if not sep:  # file:/x and plain paths
+        return pafs.LocalFileSystem(), path.removeprefix("file:")
+    if _SCHEMES.get(scheme, scheme) == "s3":
+        region = os.environ.get("AWS_REGION") or os.environ.get("AWS_DEFAULT_REGION")
+        return pafs.S3FileSystem(region=region, endpoint_override=os.environ.get("AWS_ENDPOINT_URL")), rest
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
 def read_block(path: str, block: int, columns: list[str]) -> pa.Table:
-    """One block of a table that is partitioned by `block`, read from any file system that pyarrow knows."""
-    fs, root = pafs.FileSystem.from_uri(path)
+    """One block of a table that is partitioned by `block`."""
+    fs, root = file_system(path)
     files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/block={block}")) if f.path.endswith(".parquet")]
     return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(columns=columns) for f in sorted(files)])
-
-
-def batches_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    yield from table.to_batches()

@@ -76,7 +76,7 @@ def test_batches_and_brute_force_agree(spark):
 def test_hot_roots_with_vectors_agree(spark):
     rng = np.random.default_rng(3)
     rows = []
-    for i in range(160):
+    for i in range(90):
         base = np.zeros(64)
         base[rng.integers(3)] = 1
         v = (base + rng.normal(0, 0.05, 64)).tolist() if rng.random() < 0.9 else None
@@ -94,7 +94,7 @@ def test_hot_roots_with_vectors_agree(spark):
             want.add(r["chunk_id"])
         else:
             kept.append((f32, r["text"]))
-    for hot in (10**6, 20):
+    for hot in (20,):
         assert {r[0] for r in H.by_batches(df, new_table_path(spark, "t"), hot_rows=hot).collect()} == want, hot
 
 
