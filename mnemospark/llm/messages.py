@@ -100,19 +100,28 @@ def close(a: str, b: str) -> bool:
     most = 2 if long >= 6 and short >= 5 else 1
     if long - short > most or short < 2:
         return False
-    before2: list[int] = []
-    before = list(range(len(b) + 1))
+    lead = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), short)
+    a, b = a[lead:], b[lead:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    far = most + 1  # cells further from the diagonal than `most` are of no use
+    before2: dict[int, int] = {}
+    before = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
+        row: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if j == 0:
+                row[0] = i
+                continue
+            y = b[j - 1]
+            d = min(before.get(j, far) + 1, row.get(j - 1, far) + 1, before.get(j - 1, far) + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before2[j - 2] + 1)
-            row.append(d)
-        if min(row) > most + 1:
+                d = min(d, before2.get(j - 2, far) + 1)
+            row[j] = d
+        if min(row.values(), default=far) > most and min(before.values(), default=far) > most:
             return False
         before2, before = before, row
-    return before[-1] <= most
+    return before.get(len(b), far) <= most
 
 
 def _written(w: str, x: str) -> bool:
@@ -167,10 +176,11 @@ def _runs(ws: list[str], rest: list[str]) -> list[tuple[list[str], str, str]]:
 
 def _set_off(run: list[str], before: str, after: str, text: str) -> bool:
     """Whether a run at the start or end of a text is parted from the rest by punctuation, as a greeting or a signature is."""
-    p = r"\W+".join(map(re.escape, run))
+    near = 40 + 3 * sum(map(len, run)) + 8 * len(run)
+    p = r"\W{1,8}".join(map(re.escape, run))
     if not before:
-        return re.match(rf"\W*{p}\W*?[:,;)\]\-–—.!]", text, re.IGNORECASE) is not None
-    return not after and re.search(rf"[.!?\-–—(:;,]\W*{p}\W*$", text, re.IGNORECASE) is not None
+        return re.match(rf"\W{{0,8}}{p}\W{{0,8}}?[:,;)\]\-–—.!]", text[:near], re.IGNORECASE) is not None
+    return not after and re.search(rf"[.!?\-–—(:;,]\W{{0,8}}{p}\W{{0,8}}$", text[-near:], re.IGNORECASE) is not None
 
 
 def _names(ws: list[str], text: str) -> bool:
