@@ -69,7 +69,6 @@ INFO_PATTERN = (
     r"\b(?:\d+\s*(?:percent|%|dollars?|months?|years?|weeks?|days?|hours?|minutes?|k|K|million|billion|mg|kg|lb|miles?|km))\b"
     r"|(?:\b\d{1,2}\s+\w+\s+\d{4}\b)|(?:\b\d{4}-\d{2}-\d{2}\b)|(?:^I\s+(?:work|left|joined|started|moved|quit|got|decided|plan))"
 )
-UNITS = "percent|%|ms|MB|GB|TB|k|M|B"
 PREDICATE_FORMS = {
     "working_on": "works_on", "employed_at": "works_at", "employed_by": "works_at", "leading": "leads", "managing": "manages", "using": "uses", "researching": "researches", "is_an": "is_a",
     "based_in": "located_in", "member_of": "part_of", "built": "created", "likes": "prefers", "quit": "left",
