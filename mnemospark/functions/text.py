@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import lexicon as L
 
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
+NUMBER_WITH_UNIT = r"(?:^|[^A-Za-z0-9_.])([0-9]+(?:\.[0-9]+)?(?:\s?(?:percent|%|ms|MB|GB|TB|k|M|B)(?![A-Za-z0-9_]))?)"
 PROPER_NOUN = r"(?<![\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?![\p{L}\p{N}_])"
 
 
@@ -65,11 +66,12 @@ def windows(items: Column, size: int = 3, overlap: int = 1) -> Column:
 
 
 def distinctive_tokens(text: Column) -> Column:
-    """Sorted set of what makes a text distinct: proper nouns, numbers, acronyms, snake_case and camelCase names, known technology."""
+    """Sorted set of what makes a text distinct: proper nouns, numbers with decimals and units, acronyms, snake_case and camelCase names, known technology."""
     whole = F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
     found = F.concat(
         proper_nouns(text),
-        F.filter(whole, lambda w: w.rlike(r"^[0-9]+$") | w.rlike(r"^[A-Z]{2,}$") | w.rlike(r"^[a-z]+(?:_[a-z]+)+$") | w.rlike(r"^[a-z]+(?:[A-Z][a-z]+)+$") | F.lower(w).isin(L.TECH_WORDS)),
+        F.regexp_extract_all(text, F.lit(NUMBER_WITH_UNIT), 1),
+        F.filter(whole, lambda w: w.rlike(r"^[A-Z]{2,}$") | w.rlike(r"^[a-z]+(?:_[a-z]+)+$") | w.rlike(r"^[a-z]+(?:[A-Z][a-z]+)+$") | F.lower(w).isin(L.TECH_WORDS)),
     )
     return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.lower(F.regexp_replace(w, r"\s+", " ")))))
 

@@ -47,6 +47,12 @@ def sentences(c: str) -> str:
     return rf"list_filter(list_transform(string_split(regexp_replace({c}, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
+def numbers(c: str) -> str:
+    """Numbers with decimals and units. RE2 looks at nothing behind a match, so a unit takes what follows with it, which is cut off again."""
+    found = rf"regexp_extract_all({c}, '(?:^|[^A-Za-z0-9_.])([0-9]+(?:\.[0-9]+)?(?:\s?(?:percent|%|ms|MB|GB|TB|k|M|B)(?:$|[^A-Za-z0-9_]))?)', 1)"
+    return rf"list_transform({found}, lambda x: regexp_replace(x, '(percent|%|ms|MB|GB|TB|k|M|B)[^A-Za-z0-9_]$', '\1'))"
+
+
 def distinctive(c: str) -> str:
-    whole = rf"list_filter(regexp_split_to_array({c}, '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '' AND (regexp_full_match(w, '[0-9]+') OR regexp_full_match(w, '[A-Z]{{2,}}') OR regexp_full_match(w, '[a-z]+(?:_[a-z]+)+') OR regexp_full_match(w, '[a-z]+(?:[A-Z][a-z]+)+') OR lower(w) IN ({quoted(L.TECH_WORDS)})))"
-    return rf"list_sort(list_distinct(list_transform(list_concat({proper(c)}, {whole}), lambda w: lower(regexp_replace(w, '\s+', ' ', 'g')))))"
+    whole = rf"list_filter(regexp_split_to_array({c}, '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '' AND (regexp_full_match(w, '[A-Z]{{2,}}') OR regexp_full_match(w, '[a-z]+(?:_[a-z]+)+') OR regexp_full_match(w, '[a-z]+(?:[A-Z][a-z]+)+') OR lower(w) IN ({quoted(L.TECH_WORDS)})))"
+    return rf"list_sort(list_distinct(list_transform(list_concat(list_concat({proper(c)}, {numbers(c)}), {whole}), lambda w: lower(regexp_replace(w, '\s+', ' ', 'g')))))"
