@@ -28,6 +28,16 @@ def test_tokens_counts_and_names(spark):
     assert one(spark, "the build_agent at NASA runs mySql 42 on Kafka", T.distinctive_tokens(c)) == ["42", "build_agent", "kafka", "mysql", "nasa"]
 
 
+def test_names_of_many_parts(spark):
+    n = 20_000
+    snake, camel, proper = "a" + "_b" * n, "a" + "Bc" * n, "Ab" + " Cd" * n
+    assert one(spark, snake, T.distinctive_tokens(F.col("text"))) == [snake]
+    assert one(spark, camel, T.distinctive_tokens(F.col("text"))) == [camel.lower()]
+    assert one(spark, proper, T.proper_nouns(F.col("text"))) == [proper]
+    assert one(spark, proper + " Ef2 Gh", T.proper_nouns(F.col("text"))) == [proper, "Gh"]
+    assert one(spark, "Ann  Smith2 Éa Bo_ Cy\nDan Eva-Lou aXb x_y_ a_b", T.distinctive_tokens(F.col("text"))) == ["a_b", "ann", "axb", "cy dan eva", "lou"]
+
+
 def test_importance_orders_texts(spark):
     rows = [("I lead our team at Oslo Labs and must remember the key 42",), ("ok thanks",)]
     got = [r["i"] for r in spark.createDataFrame(rows, "text string").select(T.importance(F.col("text"), F.lit(0.5)).alias("i")).collect()]
