@@ -68,3 +68,14 @@ def test_expand_and_merge(spark):
     assert got == {("a", 0), ("b", 1), ("a2", 1), ("c", 2)}
     m = G.merge_nodes(e, spark.createDataFrame([("a2", "a")], "old string, new string"), "s", "o", ["p"], "n")
     assert {(r["s"], r["o"], r["n"]) for r in m.collect()} == {("a", "b", 5), ("b", "c", 2), ("c", "d", 1)}
+
+
+def test_smart_dedup_of_names_of_many_parts(spark, tmp_path):
+    """Near pairs whose texts hold names of thousands of parts."""
+    from mnemospark.plans.episodic import smart_dedup
+
+    long, v = "run" + "_b" * 20_000 + " for Ab" + " Cd" * 20_000, [1.0] * 64
+    rows = [(f"ch_{i:09d}", v, t, f"2024-01-0{i // 50} 00:00:00", "c", "user", 1.0, 0, "u") for i, t in ((50, long), (100, long), (150, "at Oslo"))]
+    chunks = spark.createDataFrame(rows, "chunk_id string, vector array<float>, text string, timestamp string, conversation_id string, speaker string, confidence double, access_count int, user_id string")
+    chunks.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/chunks.parquet")
+    assert sorted(map(tuple, smart_dedup(spark, str(tmp_path)).collect())) == [("ch_000000100", "ch_000000050", 1.0, True), ("ch_000000150", "ch_000000050", 0.0, False)]
