@@ -82,6 +82,7 @@ def open_parts(s: str, environments: list[tuple[int, str, bool]] | None = None)
 ENTRY = re.compile(r"\\bibitem", re.IGNORECASE)
 _RUN = re.compile(r"\d+|[^\W\d_]+|\s+|.", re.DOTALL)
 _RANGE = re.compile(r"(\d+)\s*[-–—]+\s*(\d+)\W*$")
+_RANGE_START = re.compile(r"(\d+)\s*[-–—]+\s*$")
 
 
 def entry_shape(s: str) -> str | None:
@@ -95,31 +96,120 @@ def entry_shape(s: str) -> str | None:
     return "".join(runs[-5:]) + (("<" if int(m.group(2)[:12]) >= int(m.group(1)[:12]) else ">") if m else "")
 
 
-def _places(n: int, most: int, seed: int) -> list[int]:
-    """Up to `most` of the numbers below n, spread by a seed."""
-    return [(seed * 2_654_435_761 + k * 40_503) % n for k in range(most)] if n else []
-
-
 #: What besides contexts is counted at ends of units and at other places: open formulas, open groups, shapes of entries.
 FORMULAS, GROUPS, SHAPES = 100, 101, 102
-
-
-def structure(s: str, ends: list[int]) -> Iterator[tuple[int, int, bool]]:
-    """(what, value, at an end) at four ends of units and four other places of a text, and for entries at the ends of all but the last and at three places inside each."""
-    envs = _environments(s)
-    seed = len(s)
-    for at_end, places in ((True, [ends[i] for i in _places(len(ends) - 1, 4, seed)]), (False, _places(ends[-1], 4, seed))):
-        for at in places:
-            formula, group = open_parts(s[:at].rstrip(), envs)
-            yield FORMULAS, int(formula), at_end
-            yield GROUPS, int(group), at_end
+_MARKS = np.zeros(128, np.uint8)
+_MARKS[[ord(c) for c in "\\{}$()[]"]] = range(1, 9)
+_PARAGRAPH = re.compile(r"\n\r?\n\s*(?=\S)")
+_END = re.compile(r"\\end\{", re.IGNORECASE)
+
+
+def open_steps(s: str, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`open_parts` of s at all places below `upto` (s[:place] without space at its end), as (places where it may change, formula from there on, group from there on)."""
+    kind = _MARKS[np.minimum(np.frombuffer(s[:upto].encode("utf-32-le", "surrogatepass"), np.uint32), 127)]
+    at = np.flatnonzero(kind)
+    comments = [m.span() for m in LINE_COMMENT.finditer(s, 0, upto)]
+    if comments:
+        lo, hi = np.array(comments).T
+        i = np.searchsorted(lo, at, side="right") - 1
+        at = at[(i < 0) | (at >= hi[np.maximum(i, 0)])]
+    kind = kind[at]
+    # a mark is escaped behind an odd number of backslashes
+    slash = kind == 1
+    behind = np.zeros(len(at), bool)
+    behind[1:] = slash[:-1] & (at[1:] == at[:-1] + 1)
+    first = np.maximum.accumulate(np.where(behind & slash, 0, np.arange(len(at)))) if len(at) else at
+    odd = (np.arange(len(at)) - first) % 2 == 0
+    escaped = np.zeros(len(at), bool)
+    escaped[1:] = behind[1:] & odd[:-1]
+
+    def sums(opens: int, closes: int, esc: bool) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(((kind == opens).astype(np.int64) - (kind == closes)) * (escaped == esc))])
+
+    paragraphs = np.array([m.end() for m in _PARAGRAPH.finditer(s, 0, upto)], np.int64)
+    steps, inside, stack = [0], [False], []
+    for end, name, begins in _environments(s):
+        if begins:
+            stack.append(name)
+        elif name in stack:
+            while stack.pop() != name:
+                pass
+        steps.append(end)
+        inside.append(any(x in FORMULA for x in stack))
+    places = np.unique(np.concatenate([at + 1, paragraphs + 1, steps]))
+    places = places[places < max(upto, 1)]
+    upto_here = np.searchsorted(at, places)
+    p = np.searchsorted(paragraphs, places)
+    since = np.where(p > 0, np.searchsorted(at, np.concatenate([[0], paragraphs])[p]), 0)
+    held = lambda c: c[upto_here] - c[since]
+    formula = np.array(inside)[np.searchsorted(steps, places, side="right") - 1] | (held(sums(4, 0, False)) % 2 == 1) | (held(sums(5, 6, True)) > 0) | (held(sums(7, 8, True)) > 0)
+    return places, formula, held(sums(2, 3, False)) > 0
+
+
+def entry_shapes(s: str, lo: int, hi: int) -> tuple[dict[str, int], str | None]:
+    """`entry_shape` at all places inside the entry s[lo:hi] behind its command, with the number of places, and at its end."""
+    e = s[lo : min(hi, lo + 3_000)]
+    n, last = len(e), min(len(e), hi - lo - 1)
+    blank, closed = re.search(r"\n\n\s*(?=\S)", e), _END.search(e)
+    n = min(n, blank.end() if blank else n, closed.end() - 1 if closed else n)
+    last = min(last, n)
+    found: dict[str, int] = {}
+    kinds: list[str] = []
+    ends: list[int] = []
+    shape, flag = "", ""
+
+    def add(shape: str, a: int, z: int) -> None:
+        k = (z if z < last else last) - (a if a > 7 else 7)
+        if k > 0:
+            found[shape] = found.get(shape, 0) + k
+
+    for m in _RUN.finditer(e, 0, n):
+        a, z = m.span()
+        c = e[a]
+        kinds.append("9" if c.isdigit() else "a" if c.isalpha() else " " if c.isspace() else c)
+        ends.append(z)
+        if kinds[-1] == " ":
+            add(shape, a, z)
+            continue
+        first = max(0, len(kinds) - 5)
+        before = None
+        if c == "_" or c.isalnum():
+            flag = ""
+            if c.isdecimal():
+                before = _RANGE_START.search(e, 0, a) if kinds[-2] in " -–—" else None
+        if before is None and z - ends[first] < 48:
+            shape = "".join(kinds[first:]) + flag
+            add(shape, a, z)
+            continue
+        for k in range(a + 1, z + 1):
+            while ends[first] <= k - 48:
+                first += 1
+            if before:
+                flag = "<" if int(e[a:k][:12]) >= int(before.group(1)[:12]) else ">"
+            shape = "".join(kinds[first:]) + flag
+            add(shape, k - 1, k)
+    return found, shape if n == hi - lo and shape else None
+
+
+def structure(s: str, ends: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(what, value, how often at ends of units, how often at other places): all ends but the last and all places before it, and for entries all ends but the last and all places inside."""
+    places, *opened = open_steps(s, ends[-1])
+    width = np.diff(np.append(places, max(ends[-1], 1)))
+    here = np.searchsorted(places, ends[:-1], side="right") - 1
+    for what, is_open in zip((FORMULAS, GROUPS), opened):
+        e, n = int(is_open[here].sum()), int(width[is_open].sum())
+        yield what, 1, e, n
+        yield what, 0, len(here) - e, ends[-1] - n
     starts = [m.start() for m in ENTRY.finditer(s)]
-    for i, (lo, hi) in enumerate(zip(starts, starts[1:])):
-        for at_end, places in ((True, [hi]), (False, [lo + 8 + p for p in _places(max(1, hi - lo - 8), 3, seed + i)])):
-            for at in places:
-                shape = entry_shape(s[max(0, at - 3_000) : at].rstrip())
-                if shape is not None:
-                    yield SHAPES, xxhash.xxh64_intdigest(shape) >> 1, at_end
+    total: dict[str, list[int]] = {}
+    for lo, hi in zip(starts, starts[1:]):
+        inside, end = entry_shapes(s, lo, hi)
+        for shape, n in inside.items():
+            total.setdefault(shape, [0, 0])[1] += n
+        if end is not None:
+            total.setdefault(end, [0, 0])[0] += 1
+    for shape, (e, n) in total.items():
+        yield SHAPES, xxhash.xxh64_intdigest(shape) >> 1, e, n
 
 
 def _table() -> np.ndarray:
@@ -155,7 +245,7 @@ def language(lang: str | None) -> int:
 
 
 def context_counts(docs: DataFrame, text: str, lang: str) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per language: contexts, how often each ends a unit, and how often it occurs, over all texts whole; under FORMULAS, GROUPS and SHAPES what `structure` finds in each of them.
+    """Per language: contexts, how often each ends a unit, and how often it occurs, over all texts whole; under FORMULAS, GROUPS and SHAPES what `structure` finds at all places of each of them.
 
     The last unit of a text is left out, for it may be cut. A task adds up its own texts;
     the driver gets a few ten thousand contexts per language after the second sum.
@@ -180,8 +270,10 @@ def context_counts(docs: DataFrame, text: str, lang: str) -> dict[int, tuple[np.
                 ends = [m.start() for m in UNIT_END.finditer(s)]
                 if not ends:
                     continue
-                for what, value, at_end in structure(s, ends):
-                    other.setdefault((what, value), [0, 0])[not at_end] += 1
+                for what, value, e, n in structure(s, ends):
+                    got = other.setdefault((what, value), [0, 0])
+                    got[0] += e
+                    got[1] += n
                 h = contexts(s[: ends[-1]])
                 at = np.array([e - 1 if s[e - 1] not in " \t\r" else len(s[:e].rstrip(" \t\r")) - 1 for e in ends])
                 at = at[at >= 0]
@@ -200,7 +292,7 @@ def context_counts(docs: DataFrame, text: str, lang: str) -> dict[int, tuple[np.
 
     schema = "lang bigint, ctx bigint, ends bigint, n bigint"
     rows = docs.filter(F.length(text) > 0).select(text, lang).mapInArrow(run, schema).groupBy("lang", "ctx").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
-    got = rows.filter("ends + n > 1 or lang < 100").orderBy("lang", "ctx").toArrow().to_pandas()
+    got = rows.orderBy("lang", "ctx").toArrow().to_pandas()
     return {int(lg): (g.ctx.to_numpy(), g.ends.to_numpy(), g.n.to_numpy()) for lg, g in got.groupby("lang")}
 
 
@@ -245,12 +337,12 @@ class EndModel:
 
     @staticmethod
     def _ratio(counts: dict, what: int) -> dict[int, float]:
-        """Log of how much more frequent each value is at ends than elsewhere, shrunk to 0 by half a count."""
+        """Log of how much more frequent each value is at ends than elsewhere, shrunk to 0 by half an end and as many other places as there are to half an end."""
         if what not in counts:
             return {}
         i, e, n = counts[what]
-        a, b = (e + 0.5) / (e.sum() + 1), (n + 0.5) / (n.sum() + 1)
-        return dict(zip(i.tolist(), np.log(a / b).tolist()))
+        per_end = max(n.sum(), 1) / max(e.sum(), 1)
+        return dict(zip(i.tolist(), np.log((e + 0.5) / (n / per_end + 0.5)).tolist()))
 
     def structure(self, s: str) -> float:
         formula, group = open_parts(s)

@@ -104,3 +104,25 @@ def test_other_bibliographies_are_whole(spark):
     rows += [(100, text, "en", "a"), (101, text[:-22], "en", "a"), (102, BODY.upper() + "\\BEGIN{EQUATION}\n A = B.", "en", "a"), (103, BODY + "\\begin{equation}\n\\begin{small}\n a = b.", "en", "a")]
     got = {r["doc_id"] for r in T.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).filter("cut").collect()}
     assert got == {101, 102, 103}
+
+
+def test_structure_is_counted_at_all_places(spark):
+    """The counts are those of judging every prefix of every text, one by one."""
+    items = "".join(f"\\bibitem{{k{i}}} A. B-{i}, \\emph{{T_{i}}}, J. Longitudinal-Electrodynamics Characterization Measurement {i}4 (2001) 1{i} -- 12, {i}99--602.\n\n" for i in range(5))
+    odd = "\\begin{thebibliography}{9}\n" + items + "\\end{thebibliography}\nA\\$ $x\\{_{a}$ % $ {\n\\\\[2pt] \\[ y \\] \\( z\r\n\r\n { \\\\{ 5\\% \n \n} \\begin{Align*}\\begin{small} $\n\n \\end{align*} so\n\nEnd of it.\n\nCut"
+    texts = [GOOD, BODY, odd, "Nothing ends here", "\n\n"]
+    want: dict[tuple[int, int], list[int]] = {}
+    for s in texts:
+        ends, envs = [m.start() for m in T.UNIT_END.finditer(s)], T._environments(s)
+        for at, j in [(x, 0) for x in ends[:-1]] + [(x, 1) for x in range(ends[-1] if ends else 0)]:
+            for what, value in zip((T.FORMULAS, T.GROUPS), T.open_parts(s[:at].rstrip(), envs)):
+                want.setdefault((what, int(value)), [0, 0])[j] += 1
+        starts = [m.start() for m in T.ENTRY.finditer(s)] if ends else []
+        for lo, hi in zip(starts, starts[1:]):
+            for at in range(lo + 8, hi + 1):
+                shape = T.entry_shape(s[max(0, at - 3_000) : at].rstrip())
+                if shape is not None:
+                    want.setdefault((T.SHAPES, T.xxhash.xxh64_intdigest(shape) >> 1), [0, 0])[at < hi] += 1
+    got = T.context_counts(spark.createDataFrame([(s, "en") for s in texts], "text string, lang string").coalesce(1), "text", "lang")
+    found = {(what, int(i)): [int(e), int(n)] for what in (T.FORMULAS, T.GROUPS, T.SHAPES) for i, e, n in zip(*got[what])}
+    assert {k: v for k, v in found.items() if any(v)} == want
