@@ -43,6 +43,30 @@ def test_search_of_own_group_and_earlier_rows(spark):
     assert fused_search(empty.select(F.col("id").alias("query_id"), "vector", "grp", "ord"), empty, 3, dims=8).count() == 0
 
 
+def test_search_of_own_group_in_parts(spark, monkeypatch):
+    """Groups that meet their queries in many tasks, ties across them, and rows of no group; no query passes through the driver."""
+    from mnemospark.operators import search
+
+    monkeypatch.setattr(search, "PART_ROWS", 7)
+    monkeypatch.setattr(search, "BLOCK_SCORES", 20)
+    rows = [(r[0], [float(i % 3 + 1), 1.0] + [0.0] * 6, *r[2:6], None if i % 11 == 0 else r[6] if i % 4 else f"s{i}", *r[7:]) for i, r in enumerate(rows_of(150))]
+    df = spark.createDataFrame(rows, ROW)
+    q = df.filter("ord % 5 = 0").select(F.col("id").alias("query_id"), "vector", "grp", "ord")
+    found = fused_search(q, df, 4, Weights(0.0, 0.0, 0.0), dims=8, same_group=True, earlier=True)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank_no"], r["id"]))
+    x = np.array([r[1] for r in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i in range(0, 150, 5):
+        near = sorted((j for j in range(i) if rows[i][6] is not None and rows[j][6] == rows[i][6]), key=lambda j: (-round(float(x[i] @ x[j]) * rows[j][4], 9), rows[j][0]))[:4]
+        if near:
+            want[rows[i][0]] = [(n + 1, rows[j][0]) for n, j in enumerate(near)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert "CoGroup" in found._jdf.queryExecution().toString()
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(4)
     edges = [(f"n{rng.randrange(80):02d}", f"n{rng.randrange(80):02d}") for _ in range(60)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)] + [("h", f"x{i}") for i in range(50)] + [(None, "q"), ("q", None), ("l", "l")]
